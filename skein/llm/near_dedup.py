@@ -266,8 +266,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links, left = by_pivots(members, None)
     if not left.isEmpty():
-        # two shared sketches a key: what only a common passage brought together falls apart
-        other = members.select("node", F.col("bucket").alias("bucket2"))
+        # two shared sketches a key: what only a common passage brought together falls apart.
+        # Two nodes that share a small bucket have met, so both sketches are still open for
+        # them; a node with one open bucket is keyed with all its others
+        lone = left.groupBy("node").agg(F.count("*").alias("n")).filter("n = 1").select("node")
+        other = left.unionByName(members.join(lone, "node", "left_semi").select("node", "bucket")).select("node", F.col("bucket").alias("bucket2"))
         two = left.join(other, "node").filter("bucket <> bucket2").select("node", F.xxhash64(F.least("bucket", "bucket2"), F.greatest("bucket", "bucket2")).alias("bucket")).distinct()
         links, left = by_pivots(scratch.write(two), links)
     if not left.isEmpty():
