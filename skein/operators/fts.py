@@ -80,7 +80,9 @@ def bm25_batch(rows: DataFrame, id_col: str, text_col: str, queries: DataFrame,
     asked = q.select("term").distinct()
     dl = rows.select(F.col(id_col).alias("id"), F.size(tokens(F.col(text_col))).alias("dl"))
     stats = dl.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"))
-    found = rows.select(F.col(id_col).alias("id"), F.size(tokens(F.col(text_col))).alias("dl"), F.explode(tokens(F.col(text_col))).alias("term")).join(asked, "term", "left_semi")
+    # tokens are a column of their own, so that a row's size is not taken again for each of its tokens
+    split = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts"))
+    found = split.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(asked, "term", "left_semi")
     tf = found.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("n"))
     s = tf.join(df, "term").join(F.broadcast(stats))
