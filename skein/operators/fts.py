@@ -88,7 +88,8 @@ def bm25_batch(rows: DataFrame, id_col: str, text_col: str, queries: DataFrame,
     s = tf.join(df, "term").join(F.broadcast(stats))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     part = s.select("term", "id", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))).alias("x"))
-    total = part.join(q, "term").groupBy("query_id", "id").agg(F.sum("x").alias("score"))
+    # sums in another order differ in the last digits; rounded, equal rows tie and go by id
+    total = part.join(q, "term").groupBy("query_id", "id").agg(F.round(F.sum("x"), 9).alias("score"))
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return total.withColumn("rank", r).filter(F.col("rank") <= k)
 

@@ -78,7 +78,7 @@ q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text)
 p AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM t), f AS (SELECT term, doc_id, dl, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 n AS (SELECT term, count(*) AS n FROM f GROUP BY term),
 x AS (SELECT term, doc_id, greatest(1e-6, ln((total - n + 0.5) / (n + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS x FROM f JOIN n USING (term), st),
-s AS (SELECT query_id, doc_id, sum(x) AS score FROM x JOIN q USING (term) GROUP BY ALL)
+s AS (SELECT query_id, doc_id, round(sum(x), 9) AS score FROM x JOIN q USING (term) GROUP BY ALL)
 SELECT query_id, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, doc_id) <= 1""",
 )
 def bm25_batch(spark, d):
