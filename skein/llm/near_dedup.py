@@ -9,11 +9,13 @@ k-mer sets of such pairs overlap less; the sketches are chosen for 0.5 and more.
 Classes are the connected components.
 
 Within a sketch bucket every member meets the ``PIVOTS`` members of least
-priority.  Members of larger buckets that none of them links meet again under
-keys of two shared sketches, with new pivots, and what is left then is compared
-exhaustively.  So the pairs of a round grow with the bucket, not its square, and
-no candidate is dropped: only members that a pivot has linked, whose class is
-found, are spared further comparisons.
+priority, so the pairs grow with the bucket, not its square; in a bucket of up to
+PIVOTS + 1 members that is everyone.  A larger bucket is settled once its members
+are in one class, as further links could not change the classes.  In what is left,
+all members of different classes are screened in blocks by their sizes and counted
+words, which bound the alignment from above, and the pairs that may pass are
+verified.  So every pair that shares a sketch is compared, or ruled out by a bound,
+or in one class already.
 
 Defined results: null texts count as empty, and empty texts are copies of each
 other; words are runs of letters, digits and underscores, lower-cased; texts of
@@ -43,9 +45,13 @@ K = 5
 L = 3
 SKETCHES = 32
 THRESHOLD = 0.8
-PIVOTS = 4
+PIVOTS = 3
+#: Members of one block, and bins of their counted words.
+BLOCK = 512
+BINS = 2048
 WORD = re.compile(r"\w+")
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+LAST = np.uint64(2**64 - 1)
 _rng = np.random.default_rng(20240229)
 MUL = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 2**63, SKETCHES, dtype=np.uint64)
@@ -105,8 +111,13 @@ def sketch(h: np.ndarray) -> np.ndarray:
     for s in range(0, SKETCHES, step):
         e = min(SKETCHES, s + step)
         v = mix(h[None, :] * MUL[s:e, None] + ADD[s:e, None])
-        at = np.argpartition(v, take - 1, axis=1)[:, :take] if take < n else np.broadcast_to(np.arange(n), (e - s, n))
-        at = np.sort(at, axis=1)
+        at = np.empty((e - s, take), np.int64)
+        rows = np.arange(e - s)
+        for c in range(take):
+            # a few passes for the minimum cost less than a partition
+            at[:, c] = v.argmin(axis=1)
+            v[rows, at[:, c]] = LAST
+        at.sort(axis=1)
         chosen = h[at]
         k = np.full(e - s, np.uint64(1)) + np.arange(s, e, dtype=np.uint64) * GOLD
         for c in range(take):
@@ -115,18 +126,24 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def aligned(a: list[str], b: list[str], threshold: float = THRESHOLD) -> float:
+def shared_words(a: Counter, b: Counter) -> int:
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    return sum(min(n, large[w]) for w, n in small.items() if w in large)
+
+
+def aligned(a: list[str], b: list[str], threshold: float = THRESHOLD, bag: Counter | None = None) -> float:
     """Aligned words / words of the longer text, by banded alignment; 0 below the threshold.
 
     At the threshold each side has (1 - threshold) * longer unaligned words at most,
     so aligned places lie no further apart: the band loses no pair that passes.
     The alignment is the longest common subsequence, a row of it one big integer.
+    ``bag`` holds the counted words of ``a``, where they are at hand.
     """
     longer = max(len(a), len(b))
     need = threshold * longer - 1e-9
     if not longer or min(len(a), len(b)) < need:
         return 0.0
-    if (Counter(a) & Counter(b)).total() < need:
+    if shared_words(bag or Counter(a), Counter(b)) < need:
         return 0.0
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -166,16 +183,57 @@ def sketch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": b["id"], "th": keys, "bands": bands})
 
 
-def verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def verify_batches(batches: Iterator[pd.DataFrame], threshold: float = THRESHOLD) -> Iterator[pd.DataFrame]:
+    """(a, b, sim) of each pair; sim is 0 where there is no link."""
     for b in batches:
-        last_text, last = None, []
+        last_text, last, bag = None, [], Counter()
         sims = np.zeros(len(b))
         for i, (ta, tb) in enumerate(zip(b["ta"], b["tb"], strict=True)):
             if ta != last_text:
                 last_text, last = ta, words_of(ta)
-            sims[i] = aligned(last, words_of(tb))
-        ok = sims > 0
-        yield pd.DataFrame({"a": b["a"][ok], "b": b["b"][ok], "sim": sims[ok]})
+                bag = Counter(last)
+            sims[i] = aligned(last, words_of(tb), threshold, bag)
+        yield pd.DataFrame({"a": b["a"], "b": b["b"], "sim": sims})
+
+
+def bag_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Word count of each text, and its words counted in ``BINS`` bins by hash; null where 16 bits do not hold them."""
+    ids = WordIds()
+    for b in batches:
+        sizes, bags = [], []
+        for t in b["text"]:
+            words = words_of(t)
+            n = np.bincount(np.fromiter(map(ids.__getitem__, words), np.uint64, len(words)).astype(np.int64) % BINS, minlength=BINS)
+            sizes.append(len(words))
+            bags.append(n.astype("<u2").tobytes() if len(words) < 65_536 else None)
+        yield pd.DataFrame({"node": b["node"], "size": sizes, "bag": bags})
+
+
+def screen(block: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
+    """Pairs (a, b) across classes of one pair of blocks that size and counted words do not rule out.
+
+    Words in one bin can only raise the common count, so no link is screened off.
+    """
+    block = block.sort_values("node")
+    first = block[block["block"] == block["low"]]
+    second = block[block["block"] == block["high"]]
+    same = block["low"].iat[0] == block["high"].iat[0]
+    node, label, size = (second[c].to_numpy() for c in ("node", "label", "size"))
+    bags = np.zeros((len(second), BINS), np.uint16)
+    known = second["bag"].notna().to_numpy()
+    for i in np.flatnonzero(known):
+        bags[i] = np.frombuffer(second["bag"].iat[i], "<u2")
+    out: list[tuple[int, int]] = []
+    for x, lx, n, bag in zip(first["node"], first["label"], first["size"], first["bag"], strict=True):
+        ok = (label != lx) & (np.minimum(size, n) >= threshold * np.maximum(size, n) - 1e-9)
+        if same:
+            ok &= node > x
+        at = np.flatnonzero(ok)
+        if len(at) and bag is not None:
+            common = np.minimum(bags[at], np.frombuffer(bag, "<u2")).sum(axis=1, dtype=np.int64)
+            at = at[(common >= threshold * np.maximum(size[at], n) - 1e-9) | ~known[at]]
+        out += [(min(x, y), max(x, y)) for y in node[at].tolist()]
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -230,55 +288,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no_id = sketched.filter("id IS NULL").join(own.filter("first IS NULL"), "th").select("node", "bands")
     members = scratch.write(one_each.unionByName(no_id).dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket")))
 
-    def pivots_of(m: DataFrame) -> DataFrame:
-        picks = [F.min_by("node", F.xxhash64(F.lit(j), "node")).alias(f"p{j}") for j in range(PIVOTS)]
-        return m.groupBy("bucket").agg(F.count("*").alias("n"), *picks).filter("n > 1").select("bucket", "n", F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("pivots"))
+    picks = [F.min_by("node", F.xxhash64(F.lit(j), "node")).alias(f"p{j}") for j in range(PIVOTS)]
+    per = members.groupBy("bucket").agg(F.count("*").alias("n"), *picks).filter("n > 1").select("bucket", "n", F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("pivots"))
+    met = scratch.write(members.join(per, "bucket").select("bucket", "n", "node", "pivots"))
+    scratch.drop(members)
 
-    pair_of = [F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")]
+    # the texts that share a sketch with any other, once
+    wanted = met.select("node").distinct().join(own, "node")
+    with_id = rows.join(wanted.filter("first IS NOT NULL").withColumnRenamed("th", "_t"), F.col("id") == F.col("first")).filter(F.md5("text") == F.col("_t")).select("node", "text")
+    lone = rows.filter("id IS NULL").withColumn("th", F.md5("text")).join(wanted.filter("first IS NULL"), "th").select("node", "text")
+    met_texts = scratch.write(with_id.unionByName(lone).dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among distinct (a, b); only the texts in a pair are moved."""
-        pairs = scratch.write(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(own, "node")
-        with_id = rows.join(wanted.filter("first IS NOT NULL").withColumnRenamed("th", "_t"), F.col("id") == F.col("first")).filter(F.md5("text") == F.col("_t")).select("node", "text")
-        lone = rows.filter("id IS NULL").withColumn("th", F.md5("text")).join(wanted.filter("first IS NULL"), "th").select("node", "text")
-        texts_ = scratch.write(with_id.unionByName(lone).dropDuplicates(["node"]))
-        left = pairs.join(texts_.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        both = left.join(texts_.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-        out = scratch.write(both.mapInPandas(verify_batches, "a long, b long, sim double"))
-        scratch.drop(texts_)
-        return out
-
-    def tried_and_failed(met: DataFrame, links: DataFrame) -> DataFrame:
-        """(bucket, node) of large buckets where no pivot linked the node; pivots have met everyone."""
-        large = met.filter((F.col("n") > PIVOTS + 1) & ~F.array_contains("pivots", F.col("node"))).select("bucket", "node", F.explode("pivots").alias("p"))
-        hit = large.select("bucket", "node", *pair_of).join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
-        return scratch.write(hit.groupBy("bucket", "node").agg(F.max("hit").alias("hit")).filter("hit IS NULL").select("node", "bucket"))
-
-    def by_pivots(m: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        met = m.join(pivots_of(m), "bucket").select("bucket", "n", "node", "pivots")
-        pairs = met.select("node", F.explode("pivots").alias("p")).filter("node <> p").select(*pair_of).distinct()
-        if links is not None:
-            pairs = pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
-        new = verified(pairs)
-        links = new if links is None else scratch.write(links.unionByName(new))
-        return links, tried_and_failed(met, links)
-
-    links, left = by_pivots(members, None)
-    if not left.isEmpty():
-        # two shared sketches a key: what only a common passage brought together falls apart.
-        # Two nodes that share a small bucket have met, so both sketches are still open for
-        # them; a node with one open bucket is keyed with all its others
-        lone = left.groupBy("node").agg(F.count("*").alias("n")).filter("n = 1").select("node")
-        other = left.unionByName(members.join(lone, "node", "left_semi").select("node", "bucket")).select("node", F.col("bucket").alias("bucket2"))
-        two = left.join(other, "node").filter("bucket <> bucket2").select("node", F.xxhash64(F.least("bucket", "bucket2"), F.greatest("bucket", "bucket2")).alias("bucket")).distinct()
-        links, left = by_pivots(scratch.write(two), links)
-    if not left.isEmpty():
-        other = left.select("bucket", F.col("node").alias("p"))
-        pairs = left.join(other, "bucket").filter("node < p").select(*pair_of).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
-        links = scratch.write(links.unionByName(verified(pairs)))
-
-    labels = components(links, scratch)
+        left = pairs.join(met_texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        both = left.join(met_texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        return scratch.write(both.mapInPandas(lambda batches: verify_batches(batches, threshold), "a long, b long, sim double"))
+
+    def classes(known: DataFrame) -> DataFrame:
+        return scratch.write(components(known.filter("sim > 0").select("a", "b"), scratch))
+
+    known = verified(met.select("node", F.explode("pivots").alias("p")).filter("node <> p").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct())
+    labels = classes(known)
+    named = met.filter(F.col("n") > PIVOTS + 1).select("bucket", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+    open_ = scratch.write(named.join(several, "bucket", "left_semi"))
+    if not open_.isEmpty():
+        bags = scratch.write(met_texts.join(open_.select("node").distinct(), "node", "left_semi").mapInPandas(bag_batches, "node long, size int, bag binary"))
+        n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        dealt = open_.join(bags, "node").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select("bucket", "node", "label", "size", "bag", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        found = dealt.groupBy("bucket", "low", "high").applyInPandas(lambda g: screen(g, threshold), "a long, b long").distinct()
+        found = scratch.write(found.join(known.select("a", "b"), ["a", "b"], "left_anti"))
+        if not found.isEmpty():
+            known = scratch.write(known.unionByName(verified(found)))
+            labels = classes(known)
+    scratch.drop(met_texts)
+
+    links = known.filter("sim > 0")
     n_links = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classed = texts.join(labels, "node", "left").join(n_links, "node", "left").select("th", F.coalesce("label", "node").alias("label"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     classed = scratch.write(classed).withColumnRenamed("th", "_t")

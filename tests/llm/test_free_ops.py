@@ -78,6 +78,26 @@ def test_dedup_hot_groups(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_dedup_links_behind_pivots(spark, monkeypatch):
+    """Chains of texts in large buckets, each like its neighbours only: no link is lost to a pivot that is not in reach."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(3):
+        w = prose(rng, 150).split()
+        for _ in range(14):
+            texts.append(" ".join(w))
+            w = [*w[12:], *prose(rng, 12).split()]
+    passage = prose(rng, 90)
+    texts += [passage + " " + prose(rng, 60) for _ in range(25)]
+    rng.shuffle(texts)
+    # one pivot a bucket, so that most members stand behind it or are left over, and several blocks
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_alignment():
     a = "a b c d e f g h i j".split()
     assert near_dedup.aligned(a, a) == 1 and near_dedup.aligned(a, a[1:]) == 0.9 and near_dedup.aligned(a, a[::-1]) == 0
@@ -94,6 +114,28 @@ def test_alignment():
         assert near_dedup.aligned(x, y) == pytest.approx(want if want >= 0.8 - 1e-12 else 0)
 
 
+def test_screen_loses_no_link():
+    """The bound of sizes and counted words lets every pair through that the alignment links."""
+    import pandas as pd
+
+    rng = random.Random(6)
+    base = prose(rng, 40).split()
+    texts = []
+    for _ in range(60):
+        w = base[:]
+        for _ in range(rng.randrange(14)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        texts.append(" ".join(w[: rng.randrange(25, 41)]))
+    bags = next(near_dedup.bag_batches(iter([pd.DataFrame({"node": range(60), "text": texts})])))
+    block = bags.assign(label=[i % 7 for i in range(60)], block=[i % 2 for i in range(60)], low=0, high=1)
+    got = {tuple(r) for r in near_dedup.screen(block)[["a", "b"]].to_numpy().tolist()}
+    words = [near_dedup.words_of(t) for t in texts]
+    want = {(i, j) for j in range(60) for i in range(j) if i % 2 != j % 2 and i % 7 != j % 7 and near_dedup.aligned(words[i], words[j])}
+    assert want and want <= got and len(got) < 900
+    block = block.assign(block=0, high=0, bag=None)
+    assert len(near_dedup.screen(block)) == sum(i % 7 != j % 7 and min(len(words[i]), len(words[j])) >= 0.8 * max(len(words[i]), len(words[j])) - 1e-9 for j in range(60) for i in range(j))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 200), (100, 300), (7, 7)], "a long, b long")
     got = {r["node"]: r["label"] for r in near_dedup.components(links, Scratch(spark, "test")).collect()}

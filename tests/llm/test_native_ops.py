@@ -131,8 +131,12 @@ def test_mixing_caps_and_keeps_expectation(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     out = mixing.mix(df).toPandas()
     assert (out[out["source"] == "a"]["taken"] == 15).all()
-    taken = [mixing.mix(df, seed=s).toPandas().set_index("doc_id")["taken"] for s in range(4)]
-    assert {t.loc[3:].sum() for t in taken} <= {3600, 3700} and len({tuple(t) for t in taken}) > 1
+    assert (out[out["source"] == "b"]["taken"] == 100).all()  # 3700 words of 3700: nothing to round
+    # a's 200 words capped at 3 x leave b 1000 - 600 = 400 of its 800 words: half of the documents, by the seed
+    rows = [(i, "a" if i < 2 else "b", "w " * 100) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken = [mixing.mix(df, seed=s).toPandas().sort_values("doc_id")["taken"].to_numpy() for s in range(6)]
+    assert all((t[:2] == 300).all() and t[2:].sum() == 400 for t in taken) and len({tuple(t) for t in taken}) > 1
 
 
 SECRET = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
