@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .exprs import text_of
 
 CELLS = 1 << 24
+#: Target ids up to so many (16 MB) go to every task; more are joined by a shuffle of both sides.
+BROADCAST_IDS = 2_000_000
 #: Bytes looked at in one step.
 STEP = 8_000_000
 
@@ -106,8 +108,9 @@ def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     """
     ids = targets.select(F.col(id_col).cast("long").alias("_t")).filter("_t IS NOT NULL").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    # labels grow with the corpus, so both sides are dealt out by id at every size
-    marked = rows.join(ids.hint("merge"), F.col("id") == F.col("_t"), "left").select("text", F.col("_t").isNotNull().alias("target"))
+    # labels can grow with the corpus: only a counted, bounded set is broadcast, which spares the texts a shuffle
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    marked = rows.join(F.broadcast(ids) if few else ids.hint("merge"), F.col("id") == F.col("_t"), "left").select("text", F.col("_t").isNotNull().alias("target"))
     counted = marked.mapInPandas(count_batches, "cell int, target long, background long")
     table = counted.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toPandas().sort_values("cell")
     cell, t, b = table["cell"].to_numpy(np.int64), table["target"].to_numpy(float), table["background"].to_numpy(float)

@@ -217,6 +217,16 @@ def test_lm_separates_held_out(spark):
     assert auc > 0.9
 
 
+def test_lm_joins_agree(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    good = spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1").select("doc_id")
+    one = lm_score.fit(docs, good)
+    monkeypatch.setattr(lm_score, "BROADCAST_IDS", 3)
+    other = lm_score.fit(docs, good)
+    assert one.reset_index(drop=True).equals(other.reset_index(drop=True))
+
+
 def test_lm_brute(spark):
     rows = [(1, "abab"), (2, "abc"), (3, None), (4, ""), (1, "abab")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
