@@ -304,11 +304,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = left.join(met_texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
         return scratch.write(both.mapInPandas(lambda batches: verify_batches(batches, threshold), "a long, b long, sim double"))
 
-    def classes(known: DataFrame) -> DataFrame:
-        return scratch.write(components(known.filter("sim > 0").select("a", "b"), scratch))
-
     known = verified(met.select("node", F.explode("pivots").alias("p")).filter("node <> p").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct())
-    labels = classes(known)
+    labels = scratch.write(components(known.filter("sim > 0").select("a", "b"), scratch))
     named = met.filter(F.col("n") > PIVOTS + 1).select("bucket", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
     open_ = scratch.write(named.join(several, "bucket", "left_semi"))
@@ -320,8 +317,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = dealt.groupBy("bucket", "low", "high").applyInPandas(lambda g: screen(g, threshold), "a long, b long").distinct()
         found = scratch.write(found.join(known.select("a", "b"), ["a", "b"], "left_anti"))
         if not found.isEmpty():
-            known = scratch.write(known.unionByName(verified(found)))
-            labels = classes(known)
+            more = verified(found)
+            known = scratch.write(known.unionByName(more))
+            # the classes so far are stars already; only new links join them
+            links = more.filter("sim > 0").select("a", "b").unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+            labels = scratch.write(components(links, scratch))
     scratch.drop(met_texts)
 
     links = known.filter("sim > 0")
