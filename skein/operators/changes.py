@@ -61,7 +61,7 @@ def rank_changes(changed: DataFrame, simple: DataFrame, betweenness: DataFrame,
     reach = changed.select(F.col("id").alias("root"), "id", F.lit(0).alias("d"))
     frontier = reach
     for d in range(1, depth + 1):
-        step = simple.join(F.broadcast(frontier.select("root", F.col("id").alias("dst"))), "dst").select("root", F.col("src").alias("id"), F.lit(d).alias("d")).distinct()
+        step = simple.join(frontier.select("root", F.col("id").alias("dst")), "dst").select("root", F.col("src").alias("id"), F.lit(d).alias("d")).distinct()
         frontier = graph.cut(step.join(reach.select("root", "id"), ["root", "id"], "left_anti"))
         reach = reach.unionByName(frontier)
     n = reach.filter("d > 0").groupBy(F.col("root").alias("id")).agg(F.count("*").alias("dependents"))

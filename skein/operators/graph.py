@@ -170,7 +170,7 @@ def pagerank(p: DataFrame, steps: int = 20, damping: float = 0.85, teleport: Dat
 
 def subgraph(p: DataFrame, ids: DataFrame) -> DataFrame:
     x = ids.select(F.col("id").alias("_id"))
-    return p.join(F.broadcast(x), F.col("src") == F.col("_id"), "left_semi").join(F.broadcast(x), F.col("dst") == F.col("_id"), "left_semi")
+    return p.join(x, F.col("src") == F.col("_id"), "left_semi").join(x, F.col("dst") == F.col("_id"), "left_semi")
 
 
 def ppr_kernel(src: list[str], dst: list[str], seeds: list[str], candidates: list[str], neighbours: set[str], alpha: float = 0.85, eps: float = 1e-4, steps: int = 15) -> dict[str, float]:

@@ -92,9 +92,9 @@ def apply_events(tables: dict[str, DataFrame], events: DataFrame, parse: Callabl
     from ..operators.store import resolve_targets
 
     touched = events.select(F.col("path").alias("file_path")).distinct()
-    old = tables["nodes"].join(F.broadcast(touched), "file_path", "left_semi").select(F.col("id").alias("_id"))
+    old = tables["nodes"].join(touched, "file_path", "left_semi").select(F.col("id").alias("_id"))
     new_nodes, new_edges = parse(events.filter("action <> 'delete'").select("path"))
-    nodes = tables["nodes"].join(F.broadcast(touched), "file_path", "left_anti").unionByName(new_nodes, allowMissingColumns=True)
+    nodes = tables["nodes"].join(touched, "file_path", "left_anti").unionByName(new_nodes, allowMissingColumns=True)
     kept = tables["edges"].join(old, F.col("source_id") == F.col("_id"), "left_anti")
     incoming = kept.join(old, F.col("target_id") == F.col("_id"), "left_semi").join(new_nodes.select(F.col("id").alias("_n")), F.col("target_id") == F.col("_n"), "left_semi")
     others = kept.join(old, F.col("target_id") == F.col("_id"), "left_anti")
