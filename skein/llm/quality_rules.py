@@ -45,7 +45,6 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", None, 300),
     Rule("stop_words", "n_stop_words", "n_words", 20, None),
     Rule("dup_lines", "n_dup_lines", "n_lines", None, 300),
-    Rule("line_words", "n_words", "n_lines", 1_000, None),
 )
 
 
