@@ -1,12 +1,13 @@
 """Order MinHash near-duplicate classes.
 
 Exact copies are folded by text hash.  Of each text, several sketches keep the
-``L`` smallest occurrence-labelled 5-word k-mers under one hash function each, in
+``L`` smallest occurrence-labelled 2-word k-mers under one hash function each, in
 text order; texts that share a sketch are candidates.  A candidate pair is
 verified by banded alignment of its words: aligned words / words of the longer
-text, and 0.8 or more makes a link.  (One changed word breaks five k-mers, so the
-k-mer sets of such pairs overlap less; the sketches are chosen for 0.5 and more.)
-Classes are the connected components.
+text, and 0.8 or more makes a link.  (One changed word breaks two k-mers: with
+every fifth word changed, 3 of 7 k-mers of both texts are common, and one of the 32
+sketches is shared by all but some 0.2 % of such pairs.)  Classes are the connected
+components.
 
 Within a sketch bucket every member meets the ``PIVOTS`` members of least
 priority, so the pairs grow with the bucket, not its square; in a bucket of up to
@@ -19,7 +20,7 @@ or in one class already.
 
 Defined results: null texts count as empty, and empty texts are copies of each
 other; words are runs of letters, digits and underscores, lower-cased; texts of
-under five words are one k-mer; rows with one doc_id are one document and share a
+under two words are one k-mer; rows with one doc_id are one document and share a
 class; a null doc_id is classed by its text and never represents a class that
 has an id; repeated rows give repeated results; extra columns are ignored; an
 empty table gives an empty table.
@@ -41,8 +42,8 @@ from pyspark.sql import functions as F
 from .exprs import text_of
 from .scratch import Scratch
 
-K = 5
-L = 3
+K = 2
+L = 2
 SKETCHES = 32
 THRESHOLD = 0.8
 PIVOTS = 3
@@ -79,7 +80,7 @@ def words_of(text: str) -> list[str]:
 
 
 def kmers(words: list[str], ids: WordIds) -> np.ndarray:
-    """Occurrence-labelled hashes of the 5-word k-mers, in text order, all distinct."""
+    """Occurrence-labelled hashes of the ``K``-word k-mers, in text order, all distinct."""
     if not words:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
@@ -176,11 +177,13 @@ def text_key(text: str) -> str:
 def sketch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ids = WordIds()
     for b in batches:
-        keys, bands = [], []
+        keys, sizes, bands = [], [], []
         for t in b["text"]:
             keys.append(text_key(t))
-            bands.append(np.unique(sketch(kmers(words_of(t), ids))))
-        yield pd.DataFrame({"id": b["id"], "th": keys, "bands": bands})
+            words = words_of(t)
+            sizes.append(len(words))
+            bands.append(np.unique(sketch(kmers(words, ids))))
+        yield pd.DataFrame({"id": b["id"], "th": keys, "size": sizes, "bands": bands})
 
 
 def verify_batches(batches: Iterator[pd.DataFrame], threshold: float = THRESHOLD) -> Iterator[pd.DataFrame]:
@@ -277,20 +280,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    sketched = scratch.write(rows.mapInPandas(sketch_batches, "id long, th string, bands array<long>"))
+    sketched = scratch.write(rows.mapInPandas(sketch_batches, "id long, th string, size int, bands array<long>"))
     texts = scratch.write(sketched.groupBy("th").agg(F.min("id").alias("first"), F.count("*").alias("n_copies")))
     # texts without any id are known by their hash, above all ids
     node = F.coalesce(F.col("first"), F.conv(F.substring("th", 1, 15), 16, 10).cast("long") + F.lit(1 << 61)).alias("node")
     texts = texts.select("th", "first", "n_copies", node)
 
     own = texts.select("th", "node", "first")
-    one_each = sketched.join(own.withColumnRenamed("th", "_t"), F.col("id") == F.col("first")).filter("th = _t").select("node", "bands")
-    no_id = sketched.filter("id IS NULL").join(own.filter("first IS NULL"), "th").select("node", "bands")
-    members = scratch.write(one_each.unionByName(no_id).dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket")))
+    one_each = sketched.join(own.withColumnRenamed("th", "_t"), F.col("id") == F.col("first")).filter("th = _t").select("node", "size", "bands")
+    no_id = sketched.filter("id IS NULL").join(own.filter("first IS NULL"), "th").select("node", "size", "bands")
+    members = scratch.write(one_each.unionByName(no_id).dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("bucket")))
 
-    picks = [F.min_by("node", F.xxhash64(F.lit(j), "node")).alias(f"p{j}") for j in range(PIVOTS)]
+    picks = [F.min_by(F.struct("node", "size"), F.xxhash64(F.lit(j), "node")).alias(f"p{j}") for j in range(PIVOTS)]
     per = members.groupBy("bucket").agg(F.count("*").alias("n"), *picks).filter("n > 1").select("bucket", "n", F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("pivots"))
-    met = scratch.write(members.join(per, "bucket").select("bucket", "n", "node", "pivots"))
+    met = scratch.write(members.join(per, "bucket").select("bucket", "n", "node", "size", "pivots"))
     scratch.drop(members)
 
     # the texts that share a sketch with any other, once
@@ -304,7 +307,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = left.join(met_texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
         return scratch.write(both.mapInPandas(lambda batches: verify_batches(batches, threshold), "a long, b long, sim double"))
 
-    known = verified(met.select("node", F.explode("pivots").alias("p")).filter("node <> p").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct())
+    # texts of too different sizes cannot align
+    close = F.least("size", "p.size") >= threshold * F.greatest("size", "p.size") - 1e-9
+    known = verified(met.select("node", "size", F.explode("pivots").alias("p")).filter("node <> p.node").filter(close).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct())
     labels = scratch.write(components(known.filter("sim > 0").select("a", "b"), scratch))
     named = met.filter(F.col("n") > PIVOTS + 1).select("bucket", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")

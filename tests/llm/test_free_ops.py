@@ -98,6 +98,35 @@ def test_dedup_links_behind_pivots(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_scattered_changes_share_a_sketch():
+    """Of pairs with 0.8 to 0.9 of the words in place, changed all over the text, near all are candidates."""
+    rng = random.Random(3)
+    ids = near_dedup.WordIds()
+
+    def shared(n, at):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b = [f"x{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(a)]
+        return bool(set(near_dedup.sketch(near_dedup.kmers(a, ids))) & set(near_dedup.sketch(near_dedup.kmers(b, ids))))
+
+    for part in (0.1, 0.15, 0.2):
+        assert np.mean([shared(200, set(rng.sample(range(200), int(200 * part)))) for _ in range(300)]) >= 0.99
+    assert np.mean([shared(200, set(range(4, 200, 5))) for _ in range(300)]) >= 0.98
+
+
+def test_dedup_scattered_changes(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        texts.append(" ".join(base))
+        for _ in range(2):
+            at = set(rng.sample(range(150), 28))
+            texts.append(" ".join(f"x{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(base)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_alignment():
     a = "a b c d e f g h i j".split()
     assert near_dedup.aligned(a, a) == 1 and near_dedup.aligned(a, a[1:]) == 0.9 and near_dedup.aligned(a, a[::-1]) == 0
