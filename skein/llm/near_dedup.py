@@ -9,10 +9,10 @@ every fifth word changed, 3 of 7 k-mers of both texts are common, and one of the
 sketches is shared by all but some 0.2 % of such pairs.)  Classes are the connected
 components.
 
-Within a sketch bucket every member meets the ``PIVOTS`` members of least
-priority, so the pairs grow with the bucket, not its square; in a bucket of up to
-PIVOTS + 1 members that is everyone.  A larger bucket is settled once its members
-are in one class, as further links could not change the classes.  In what is left,
+Within a sketch bucket every member meets up to ``PIVOTS`` members, each of least
+priority by one hash, so the pairs grow with the bucket, not its square; where at
+most one member is no pivot, that is everyone.  Another bucket is settled once its
+members are in one class, as further links could not change the classes.  In what is left,
 all members of different classes are screened in blocks by their sizes and counted
 words, which bound the alignment from above, and the pairs that may pass are
 verified.  So every pair that shares a sketch is compared, or ruled out by a bound,
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     close = F.least("size", "p.size") >= threshold * F.greatest("size", "p.size") - 1e-9
     known = verified(met.select("node", "size", F.explode("pivots").alias("p")).filter("node <> p.node").filter(close).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct())
     labels = scratch.write(components(known.filter("sim > 0").select("a", "b"), scratch))
-    named = met.filter(F.col("n") > PIVOTS + 1).select("bucket", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = met.filter(F.size("pivots") < F.col("n") - 1).select("bucket", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
     open_ = scratch.write(named.join(several, "bucket", "left_semi"))
     if not open_.isEmpty():

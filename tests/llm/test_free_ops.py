@@ -98,6 +98,43 @@ def test_dedup_links_behind_pivots(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_dedup_small_bucket_of_one_pivot(spark):
+    """Two linked texts that meet only in buckets of three, whose one pivot links to neither."""
+    from pyspark.sql import functions as F
+
+    n_hashes = near_dedup.PIVOTS
+    h = [[r[f"h{j}"] for j in range(n_hashes)] for r in spark.range(60).select(*[F.xxhash64(F.lit(j), "id").alias(f"h{j}") for j in range(n_hashes)]).collect()]
+    first = min(range(60), key=lambda i: h[i][0])
+    others = [i for i in range(60) if all(h[i][j] > h[first][j] for j in range(n_hashes))][:2]
+    assert len(others) == 2
+    ids = near_dedup.WordIds()
+
+    def bands(w):
+        return set(near_dedup.sketch(near_dedup.kmers(w, ids)).tolist())
+
+    for seed in range(20_000):
+        rng = random.Random(seed)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        at = rng.sample(range(100), 20)
+        b, c = base[:], base[:]
+        for i in at[:10]:
+            b[i] = f"b{i}"
+        for i in at[10:]:
+            c[i] = f"c{i}"
+        a = [f"a{i}" if i in at else w for i, w in enumerate(base)][:-1]
+        lost = [i for i in range(99) if i not in at][:5]
+        for i in lost:
+            a[i] = f"a{i}"
+        if (shared := bands(b) & bands(c)) and shared <= bands(a):
+            break
+    else:
+        raise AssertionError("no such texts")
+    assert near_dedup.aligned(b, c) and not near_dedup.aligned(a, b) and not near_dedup.aligned(a, c)
+    df = spark.createDataFrame([(first, " ".join(a)), (others[0], " ".join(b)), (others[1], " ".join(c))], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {first: first, others[0]: min(others), others[1]: min(others)}
+
+
 def test_scattered_changes_share_a_sketch():
     """Of pairs with 0.8 to 0.9 of the words in place, changed all over the text, near all are candidates."""
     rng = random.Random(3)
