@@ -1,29 +1,36 @@
 """Order MinHash near-duplicate classes.
 
 Exact copies are folded by text hash.  Of each text, several sketches keep the
-``L`` smallest occurrence-labelled 2-word k-mers under one hash function each, in
+``L`` smallest occurrence-labelled ``K``-word k-mers under one hash function each, in
 text order; texts that share a sketch are candidates.  A candidate pair is
 verified by banded alignment of its words: aligned words / words of the longer
-text, and 0.8 or more makes a link.  (One changed word breaks two k-mers: with
-every fifth word changed, 3 of 7 k-mers of both texts are common, and one of the 32
-sketches is shared by all but some 0.2 % of such pairs.)  Classes are the connected
-components.
+text, and 0.8 or more makes a link.  Classes are the connected components.  The
+k-mers only find candidates and are shorter than a five-word shingle on purpose:
+one changed word breaks ``K`` of them, and links are promised down to one word in
+five changed anywhere.  ``test_recall_by_band`` holds the share of such pairs that
+meet in a sketch; it is in the README.
 
 Within a sketch bucket every member meets up to ``PIVOTS`` members, each of least
 priority by one hash, so the pairs grow with the bucket, not its square; where at
 most one member is no pivot, that is everyone.  Another bucket is settled once its
-members are in one class, as further links could not change the classes.  In what is left,
-all members of different classes are screened in blocks by their sizes and counted
-words, which bound the alignment from above, and the pairs that may pass are
-verified.  So every pair that shares a sketch is compared, or ruled out by a bound,
-or in one class already.
+members are in one class, as further links could not change the classes.  In what
+is left, a prefix filter finds the pairs of different classes that may still align:
+words, each with its occurrence number, are put in one order, rarest first; texts
+that align to 0.8 share one of the first size - ceil(0.8 * size) + 1 words, so only
+members of a bucket that share such a word are verified.  What fills most of many
+texts is frequent and comes last in that order.  So every pair that shares a sketch
+is compared, or ruled out by an exact bound, or in one class already.
+
+Hot keys: bucket, pivot and class joins read written tables by sort-merge, which
+adaptive execution splits; sums by key combine before the shuffle.
 
 Defined results: null texts count as empty, and empty texts are copies of each
 other; words are runs of letters, digits and underscores, lower-cased; texts of
-under two words are one k-mer; rows with one doc_id are one document and share a
-class; a null doc_id is classed by its text and never represents a class that
-has an id; repeated rows give repeated results; extra columns are ignored; an
-empty table gives an empty table.
+under ``K`` words are one k-mer; texts are classed by what they say, so different
+texts under one doc_id are separate, and the one of least hash stands for the id;
+the others, and texts without an id, represent a class only if it has no such
+text; their classes have a null class_id; repeated rows give repeated results;
+extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -42,20 +49,20 @@ from pyspark.sql import functions as F
 from .exprs import text_of
 from .scratch import Scratch
 
-K = 2
+K = 3
 L = 2
-SKETCHES = 32
+SKETCHES = 40
 THRESHOLD = 0.8
 PIVOTS = 3
-#: Members of one block, and bins of their counted words.
-BLOCK = 512
-BINS = 2048
+#: Bins of the counted words that order the prefixes; fixed, so what is broadcast is.
+BINS = 1 << 17
 WORD = re.compile(r"\w+")
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-LAST = np.uint64(2**64 - 1)
+LAST = np.uint32(2**32 - 1)
 _rng = np.random.default_rng(20240229)
-MUL = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _rng.integers(0, 2**63, SKETCHES, dtype=np.uint64)
+#: One 64-bit hash gives the priorities of two sketches.
+MUL = _rng.integers(1, 2**63, SKETCHES // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ADD = _rng.integers(0, 2**63, SKETCHES // 2, dtype=np.uint64)
 #: Elements of the sketch matrix worked on at once; longer texts go through in slices of sketches.
 CELLS = 4_000_000
 
@@ -79,26 +86,35 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def occurrences(h: np.ndarray) -> np.ndarray:
+    """Hashes with the number of their earlier occurrences mixed in, so that all are distinct."""
+    n = len(h)
+    order = np.argsort(h, kind="stable")
+    sorted_ = h[order]
+    new = np.ones(n, bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    if new.all():
+        return h
+    starts = np.flatnonzero(new)
+    label = np.empty(n, np.uint64)
+    label[order] = (np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))).astype(np.uint64)
+    return np.where(label > 0, mix(h + label * GOLD), h)
+
+
+def word_hashes(words: list[str], ids: WordIds) -> np.ndarray:
+    return np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
+
+
 def kmers(words: list[str], ids: WordIds) -> np.ndarray:
     """Occurrence-labelled hashes of the ``K``-word k-mers, in text order, all distinct."""
     if not words:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
+    w = word_hashes(words, ids)
     n = max(1, len(w) - K + 1)
     h = np.zeros(n, np.uint64)
     for j in range(min(K, len(w))):
         h = mix(h * GOLD + w[j : j + n])
-    order = np.argsort(h, kind="stable")
-    sorted_ = h[order]
-    new = np.ones(n, bool)
-    new[1:] = sorted_[1:] != sorted_[:-1]
-    if not new.all():
-        starts = np.flatnonzero(new)
-        occ = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-        label = np.empty(n, np.uint64)
-        label[order] = occ.astype(np.uint64)
-        h = np.where(label > 0, mix(h + label * GOLD), h)
-    return h
+    return occurrences(h)
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -107,23 +123,25 @@ def sketch(h: np.ndarray) -> np.ndarray:
     if n == 0:
         return np.empty(0, np.int64)
     keys = np.empty(SKETCHES, np.uint64)
+    half = SKETCHES // 2
     step = max(1, CELLS // n)
     take = min(L, n)
-    for s in range(0, SKETCHES, step):
-        e = min(SKETCHES, s + step)
-        v = mix(h[None, :] * MUL[s:e, None] + ADD[s:e, None])
-        at = np.empty((e - s, take), np.int64)
-        rows = np.arange(e - s)
-        for c in range(take):
-            # a few passes for the minimum cost less than a partition
-            at[:, c] = v.argmin(axis=1)
-            v[rows, at[:, c]] = LAST
-        at.sort(axis=1)
-        chosen = h[at]
-        k = np.full(e - s, np.uint64(1)) + np.arange(s, e, dtype=np.uint64) * GOLD
-        for c in range(take):
-            k = mix(k * GOLD + chosen[:, c])
-        keys[s:e] = k
+    for s in range(0, half, step):
+        e = min(half, s + step)
+        both = mix(h[None, :] * MUL[s:e, None] + ADD[s:e, None])
+        for first, v in ((s, both.astype(np.uint32)), (half + s, (both >> np.uint64(32)).astype(np.uint32))):
+            at = np.empty((e - s, take), np.int64)
+            rows = np.arange(e - s)
+            for c in range(take):
+                # a few passes for the minimum cost less than a partition
+                at[:, c] = v.argmin(axis=1)
+                v[rows, at[:, c]] = LAST
+            at.sort(axis=1)
+            chosen = h[at]
+            k = np.full(e - s, np.uint64(1)) + np.arange(first, first + e - s, dtype=np.uint64) * GOLD
+            for c in range(take):
+                k = mix(k * GOLD + chosen[:, c])
+            keys[first : first + e - s] = k
     return keys.view(np.int64)
 
 
@@ -199,44 +217,56 @@ def verify_batches(batches: Iterator[pd.DataFrame], threshold: float = THRESHOLD
         yield pd.DataFrame({"a": b["a"], "b": b["b"], "sim": sims})
 
 
-def bag_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word count of each text, and its words counted in ``BINS`` bins by hash; null where 16 bits do not hold them."""
+def token_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hashes of each text's words, each with its occurrence number."""
     ids = WordIds()
     for b in batches:
-        sizes, bags = [], []
-        for t in b["text"]:
-            words = words_of(t)
-            n = np.bincount(np.fromiter(map(ids.__getitem__, words), np.uint64, len(words)).astype(np.int64) % BINS, minlength=BINS)
-            sizes.append(len(words))
-            bags.append(n.astype("<u2").tobytes() if len(words) < 65_536 else None)
-        yield pd.DataFrame({"node": b["node"], "size": sizes, "bag": bags})
+        yield pd.DataFrame({"node": b["node"], "tokens": [occurrences(word_hashes(words_of(t), ids)).view(np.int64) for t in b["text"]]})
+
 
+def prefix(tokens: np.ndarray, counts: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The first size - ceil(threshold * size) + 1 tokens, by how often their bin occurs, then by value."""
+    n = len(tokens)
+    keep = n - int(np.ceil(threshold * n - 1e-9)) + 1
+    bins = (tokens.view(np.uint64) % np.uint64(BINS)).astype(np.int64)
+    return tokens[np.lexsort((tokens, counts[bins]))[:keep]]
 
-def screen(block: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
-    """Pairs (a, b) across classes of one pair of blocks that size and counted words do not rule out.
 
-    Words in one bin can only raise the common count, so no link is screened off.
+def prefix_pairs(open_: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of different classes in a bucket of ``open_`` that share a word of their prefixes and are near in size.
+
+    Any order of the words gives the same guarantee; counting them in ``BINS`` bins
+    makes it rare words first.  Where one class holds most of a bucket's members with
+    a word, only the others of them are the left side, so a class never meets itself.
     """
-    block = block.sort_values("node")
-    first = block[block["block"] == block["low"]]
-    second = block[block["block"] == block["high"]]
-    same = block["low"].iat[0] == block["high"].iat[0]
-    node, label, size = (second[c].to_numpy() for c in ("node", "label", "size"))
-    bags = np.zeros((len(second), BINS), np.uint16)
-    known = second["bag"].notna().to_numpy()
-    for i in np.flatnonzero(known):
-        bags[i] = np.frombuffer(second["bag"].iat[i], "<u2")
-    out: list[tuple[int, int]] = []
-    for x, lx, n, bag in zip(first["node"], first["label"], first["size"], first["bag"], strict=True):
-        ok = (label != lx) & (np.minimum(size, n) >= threshold * np.maximum(size, n) - 1e-9)
-        if same:
-            ok &= node > x
-        at = np.flatnonzero(ok)
-        if len(at) and bag is not None:
-            common = np.minimum(bags[at], np.frombuffer(bag, "<u2")).sum(axis=1, dtype=np.int64)
-            at = at[(common >= threshold * np.maximum(size[at], n) - 1e-9) | ~known[at]]
-        out += [(min(x, y), max(x, y)) for y in node[at].tolist()]
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    spark = open_.sparkSession
+    tokens = scratch.write(texts.join(open_.select("node").distinct(), "node", "left_semi").mapInPandas(token_batches, "node long, tokens array<long>"))
+    binned = tokens.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n")).toPandas()
+    # BINS is a power of two, so pmod of a signed hash and the unsigned remainder agree
+    counts = np.zeros(BINS, np.int64)
+    counts[binned["bin"].to_numpy()] = binned["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.asarray(t, np.int64) for t in b["tokens"]]
+            yield pd.DataFrame({"node": b["node"], "size": [len(t) for t in sets], "prefix": [prefix(t, shared.value, threshold) for t in sets]})
+
+    prefixes = tokens.mapInPandas(cut, "node long, size int, prefix array<long>")
+    rows = open_.join(prefixes, "node").select("bucket", "node", "label", "size", F.explode("prefix").alias("t"))
+    rows = scratch.write(rows.select(F.xxhash64("bucket", "t").alias("key"), "node", "label", "size"))
+    # one 64-bit key for bucket and word: a clash adds a pair to verify, and loses none
+    per = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("classes"))
+    mixed = scratch.write(per.filter("classes > 1").select("key", "most"))
+    right = scratch.write(rows.join(mixed.hint("merge"), "key"))
+    left = scratch.write(right.filter("label <> most").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na")))
+    near = F.least("size", "na") >= threshold * F.greatest("size", "na") - 1e-9
+    pairs = left.join(right.hint("merge"), "key").filter(F.col("label") != F.col("la")).filter(near)
+    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    out = scratch.write(pairs)
+    for t in (tokens, rows, mixed, left, right):
+        scratch.drop(t)
+    return out
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -255,14 +285,15 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         # large star: of each node, all larger neighbours to the least of itself and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: each node and its smaller neighbours to the least of them
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         new = scratch.write(small)
         new_state = star(new)
         scratch.drop(edges)
+        scratch.drop(least)
         edges = new
         if new_state == state:
             break
@@ -272,70 +303,74 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_copies, n_links, kept: one row for each row of ``docs``.
+    """doc_id, class_id, th, label, n_copies, n_links, kept: one row for each row of ``docs``.
 
-    ``class_id`` is the least doc_id of the class, ``n_copies`` the rows with this
-    very text, ``n_links`` the other texts that the verification linked to it.
+    ``class_id`` is the doc_id of the class's representative, the least that stands
+    for a text of the class; ``label`` names every class; ``th`` is the text's MD5.
+    ``n_copies`` counts the rows with this very text, ``n_links`` the other texts
+    that the verification linked to it.  Rows with ``kept`` are the representative.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     sketched = scratch.write(rows.mapInPandas(sketch_batches, "id long, th string, size int, bands array<long>"))
-    texts = scratch.write(sketched.groupBy("th").agg(F.min("id").alias("first"), F.count("*").alias("n_copies")))
-    # texts without any id are known by their hash, above all ids
-    node = F.coalesce(F.col("first"), F.conv(F.substring("th", 1, 15), 16, 10).cast("long") + F.lit(1 << 61)).alias("node")
-    texts = texts.select("th", "first", "n_copies", node)
-
-    own = texts.select("th", "node", "first")
-    one_each = sketched.join(own.withColumnRenamed("th", "_t"), F.col("id") == F.col("first")).filter("th = _t").select("node", "size", "bands")
-    no_id = sketched.filter("id IS NULL").join(own.filter("first IS NULL"), "th").select("node", "size", "bands")
-    members = scratch.write(one_each.unionByName(no_id).dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("bucket")))
+    texts = sketched.groupBy("th").agg(F.min("id").alias("first"), F.count("*").alias("n_copies"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
+    texts = scratch.write(texts)
+    # of several texts with one least id, one has it as its node; the others and those without an id have a hash above all ids
+    again = scratch.write(texts.groupBy("first").agg(F.count("*").alias("n"), F.min("th").alias("least")).filter("n > 1 AND first IS NOT NULL").select(F.col("first").alias("_f"), "least"))
+    hashed = F.conv(F.substring("th", 1, 15), 16, 10).cast("long") + F.lit(1 << 61)
+    plain = F.coalesce(F.col("first"), hashed)
+    node = plain if again.isEmpty() else F.when(F.col("least") != F.col("th"), hashed).otherwise(plain)
+    named_texts = texts if again.isEmpty() else texts.join(again, F.col("first") == F.col("_f"), "left")
+    named_texts = named_texts.select("th", "first", "n_copies", "size", "bands", node.alias("node"))
+    members = named_texts.select("node", "size", F.explode("bands").alias("bucket"))
+    own = named_texts.select("th", "node", "first", "n_copies")
 
     picks = [F.min_by(F.struct("node", "size"), F.xxhash64(F.lit(j), "node")).alias(f"p{j}") for j in range(PIVOTS)]
     per = members.groupBy("bucket").agg(F.count("*").alias("n"), *picks).filter("n > 1").select("bucket", "n", F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("pivots"))
-    met = scratch.write(members.join(per, "bucket").select("bucket", "n", "node", "size", "pivots"))
-    scratch.drop(members)
+    per = scratch.write(per)
+    met = scratch.write(members.join(per.hint("merge"), "bucket").select("bucket", "n", "node", "size", "pivots"))
+    scratch.drop(per)
 
     # the texts that share a sketch with any other, once
-    wanted = met.select("node").distinct().join(own, "node")
-    with_id = rows.join(wanted.filter("first IS NOT NULL").withColumnRenamed("th", "_t"), F.col("id") == F.col("first")).filter(F.md5("text") == F.col("_t")).select("node", "text")
-    lone = rows.filter("id IS NULL").withColumn("th", F.md5("text")).join(wanted.filter("first IS NULL"), "th").select("node", "text")
+    wanted = scratch.write(met.select("node").distinct().join(own, "node").select("node", F.col("th").alias("_t"), "first"))
+    with_id = rows.join(wanted.filter("first IS NOT NULL"), F.col("id") == F.col("first")).filter(F.md5("text") == F.col("_t")).select("node", "text")
+    lone = rows.filter("id IS NULL").join(wanted.filter("first IS NULL"), F.md5("text") == F.col("_t")).select("node", "text")
     met_texts = scratch.write(with_id.unionByName(lone).dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(met_texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        both = left.join(met_texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        left = pairs.join(met_texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+        both = left.join(met_texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
         return scratch.write(both.mapInPandas(lambda batches: verify_batches(batches, threshold), "a long, b long, sim double"))
 
     # texts of too different sizes cannot align
     close = F.least("size", "p.size") >= threshold * F.greatest("size", "p.size") - 1e-9
-    known = verified(met.select("node", "size", F.explode("pivots").alias("p")).filter("node <> p.node").filter(close).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct())
+    asked = scratch.write(met.select("node", "size", F.explode("pivots").alias("p")).filter("node <> p.node").filter(close).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct())
+    known = verified(asked)
     labels = scratch.write(components(known.filter("sim > 0").select("a", "b"), scratch))
-    named = met.filter(F.size("pivots") < F.col("n") - 1).select("bucket", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    open_ = scratch.write(named.join(several, "bucket", "left_semi"))
+    named = scratch.write(met.filter(F.size("pivots") < F.col("n") - 1).select("bucket", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
+    several = scratch.write(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket"))
+    open_ = scratch.write(named.join(several.hint("merge"), "bucket", "left_semi"))
     if not open_.isEmpty():
-        bags = scratch.write(met_texts.join(open_.select("node").distinct(), "node", "left_semi").mapInPandas(bag_batches, "node long, size int, bag binary"))
-        n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        dealt = open_.join(bags, "node").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select("bucket", "node", "label", "size", "bag", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        found = dealt.groupBy("bucket", "low", "high").applyInPandas(lambda g: screen(g, threshold), "a long, b long").distinct()
-        found = scratch.write(found.join(known.select("a", "b"), ["a", "b"], "left_anti"))
+        found = scratch.write(prefix_pairs(open_, met_texts, scratch, threshold).join(known.select("a", "b"), ["a", "b"], "left_anti"))
         if not found.isEmpty():
             more = verified(found)
             known = scratch.write(known.unionByName(more))
             # the classes so far are stars already; only new links join them
             links = more.filter("sim > 0").select("a", "b").unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
             labels = scratch.write(components(links, scratch))
-    scratch.drop(met_texts)
+    for t in (met_texts, met, named, open_):
+        scratch.drop(t)
 
     links = known.filter("sim > 0")
     n_links = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classed = texts.join(labels, "node", "left").join(n_links, "node", "left").select("th", F.coalesce("label", "node").alias("label"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    classed = scratch.write(classed).withColumnRenamed("th", "_t")
-    out = sketched.select("id", "th").join(classed, F.col("th") == F.col("_t"), "left")
+    classed = own.join(labels, "node", "left").join(n_links, "node", "left").select(
+        F.col("th").alias("_t"), "node", "first", F.coalesce("label", "node").alias("label"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
+    classed = scratch.write(classed)
+    out = sketched.select("id", "th").join(classed.hint("merge"), F.col("th") == F.col("_t"))
     class_id = F.when(F.col("label") < (1 << 61), F.col("label"))
-    kept = F.coalesce(F.col("id") == F.col("label"), F.lit(False))
+    kept = (F.col("node") == F.col("label")) & F.col("id").eqNullSafe(F.col("first"))
     return out.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), "th", "label", "n_copies", "n_links", kept.alias("kept"))
 
 
