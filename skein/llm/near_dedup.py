@@ -58,23 +58,22 @@ PIVOTS = 3
 BINS = 1 << 17
 WORD = re.compile(r"\w+")
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-LAST = np.uint32(2**32 - 1)
+LAST = np.uint64(2**64 - 1)
 _rng = np.random.default_rng(20240229)
-#: One 64-bit hash gives the priorities of two sketches.
-MUL = _rng.integers(1, 2**63, SKETCHES // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _rng.integers(0, 2**63, SKETCHES // 2, dtype=np.uint64)
+MUL = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ADD = _rng.integers(0, 2**63, SKETCHES, dtype=np.uint64)
 #: Elements of the sketch matrix worked on at once; longer texts go through in slices of sketches.
-CELLS = 4_000_000
-
-
-class WordIds(dict):
-    """Word -> 64-bit hash, remembered; emptied when large, so memory is bounded."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+CELLS = 1_000_000
+#: Bytes that are in words stay: ASCII letters, digits, underscores, and all of the characters beyond ASCII that are left.
+IN_WORD = bytes(i if i > 127 or chr(i).isalnum() or i == 95 else 0 for i in range(256))
+#: Bytes of ASCII and of U+00C0 to U+02BF, which are letters but for the signs of times and division.
+PLAIN = bytes([*range(0xC0), *range(0xC3, 0xCB)])
+NO_WORD = re.compile(r"[^\w\x00-\x7f]+")
+#: An odd base of the running sums and its inverse modulo 2 ** 64; bytes summed at once; bytes of words that are hashed alone.
+BASE = 0x5851F42D4C957F2D
+INVERSE = pow(BASE, -1, 1 << 64)
+SLICE = 1 << 20
+LONG_WORD = 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,30 +85,69 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def powers(base: int, n: int, _held: dict = {}) -> np.ndarray:  # noqa: B006
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    if len(_held.get(base, ())) < n:
+        out = np.full(max(n, 1 << 16), base, np.uint64)
+        out[0] = 1
+        _held[base] = np.multiply.accumulate(out)
+    return _held[base][:n]
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of ``words_of(text)``, from sums of the text's bytes times powers of ``BASE``.
+
+    Characters beyond ASCII that are in no word become blanks, so a byte tells
+    whether it is in a word.  Words of over ``LONG_WORD`` bytes are hashed alone.
+    """
+    low = text.lower()
+    data = low.encode("utf-8", "surrogatepass")
+    if data.translate(None, PLAIN) or b"\xc3\x97" in data or b"\xc3\xb7" in data:
+        data = NO_WORD.sub(" ", low).encode("utf-8", "surrogatepass")
+    # bytes of no word are 0 from here on
+    data = data.translate(IN_WORD)
+    raw = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = raw
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    out = np.empty(len(start), np.uint64)
+    long_ = np.append(np.flatnonzero(end - start > LONG_WORD), len(start))
+    i = 0
+    while i < len(start):
+        next_long = long_[np.searchsorted(long_, i)]
+        if i == next_long:
+            out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]])
+            i += 1
+            continue
+        j = min(int(next_long), max(i + 1, int(np.searchsorted(end, start[i] + SLICE, "right"))))
+        a, n = int(start[i]), int(end[j - 1] - start[i])
+        at = start[i:j] - a
+        out[i:j] = np.add.reduceat(raw[a : a + n] * powers(BASE, n), at) * powers(INVERSE, n)[at]
+        i = j
+    return mix(out + (end - start).astype(np.uint64) * GOLD)
+
+
 def occurrences(h: np.ndarray) -> np.ndarray:
     """Hashes with the number of their earlier occurrences mixed in, so that all are distinct."""
-    n = len(h)
-    order = np.argsort(h, kind="stable")
-    sorted_ = h[order]
-    new = np.ones(n, bool)
-    new[1:] = sorted_[1:] != sorted_[:-1]
-    if new.all():
+    sorted_ = np.sort(h)
+    twice = sorted_[1:][sorted_[1:] == sorted_[:-1]]
+    if not len(twice):
         return h
+    at = np.flatnonzero(np.isin(h, twice))
+    order = at[np.argsort(h[at], kind="stable")]
+    new = np.append(True, h[order][1:] != h[order][:-1])
     starts = np.flatnonzero(new)
-    label = np.empty(n, np.uint64)
-    label[order] = (np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))).astype(np.uint64)
-    return np.where(label > 0, mix(h + label * GOLD), h)
-
-
-def word_hashes(words: list[str], ids: WordIds) -> np.ndarray:
-    return np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
+    seen = (np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))).astype(np.uint64)
+    out = h.copy()
+    out[order] = np.where(seen > 0, mix(h[order] + seen * GOLD), h[order])
+    return out
 
 
-def kmers(words: list[str], ids: WordIds) -> np.ndarray:
-    """Occurrence-labelled hashes of the ``K``-word k-mers, in text order, all distinct."""
-    if not words:
-        return np.empty(0, np.uint64)
-    w = word_hashes(words, ids)
+def kmers(w: np.ndarray) -> np.ndarray:
+    """Occurrence-labelled hashes of the ``K``-word k-mers of word hashes, in text order, all distinct."""
+    if not len(w):
+        return w
     n = max(1, len(w) - K + 1)
     h = np.zeros(n, np.uint64)
     for j in range(min(K, len(w))):
@@ -123,25 +161,24 @@ def sketch(h: np.ndarray) -> np.ndarray:
     if n == 0:
         return np.empty(0, np.int64)
     keys = np.empty(SKETCHES, np.uint64)
-    half = SKETCHES // 2
     step = max(1, CELLS // n)
     take = min(L, n)
-    for s in range(0, half, step):
-        e = min(half, s + step)
-        both = mix(h[None, :] * MUL[s:e, None] + ADD[s:e, None])
-        for first, v in ((s, both.astype(np.uint32)), (half + s, (both >> np.uint64(32)).astype(np.uint32))):
-            at = np.empty((e - s, take), np.int64)
-            rows = np.arange(e - s)
-            for c in range(take):
-                # a few passes for the minimum cost less than a partition
-                at[:, c] = v.argmin(axis=1)
-                v[rows, at[:, c]] = LAST
-            at.sort(axis=1)
-            chosen = h[at]
-            k = np.full(e - s, np.uint64(1)) + np.arange(first, first + e - s, dtype=np.uint64) * GOLD
-            for c in range(take):
-                k = mix(k * GOLD + chosen[:, c])
-            keys[first : first + e - s] = k
+    for s in range(0, SKETCHES, step):
+        e = min(SKETCHES, s + step)
+        # the k-mers are hashes already: one product gives each sketch its order
+        v = (h[None, :] ^ ADD[s:e, None]) * MUL[s:e, None]
+        at = np.empty((e - s, take), np.int64)
+        rows = np.arange(e - s)
+        for c in range(take):
+            # a few passes for the minimum cost less than a partition
+            at[:, c] = v.argmin(axis=1)
+            v[rows, at[:, c]] = LAST
+        at.sort(axis=1)
+        chosen = h[at]
+        k = np.full(e - s, np.uint64(1)) + np.arange(s, e, dtype=np.uint64) * GOLD
+        for c in range(take):
+            k = mix(k * GOLD + chosen[:, c])
+        keys[s:e] = k
     return keys.view(np.int64)
 
 
@@ -150,7 +187,7 @@ def shared_words(a: Counter, b: Counter) -> int:
     return sum(min(n, large[w]) for w, n in small.items() if w in large)
 
 
-def aligned(a: list[str], b: list[str], threshold: float = THRESHOLD, bag: Counter | None = None) -> float:
+def aligned(a: list, b: list, threshold: float = THRESHOLD, bag: Counter | None = None) -> float:
     """Aligned words / words of the longer text, by banded alignment; 0 below the threshold.
 
     At the threshold each side has (1 - threshold) * longer unaligned words at most,
@@ -173,7 +210,7 @@ def aligned(a: list[str], b: list[str], threshold: float = THRESHOLD, bag: Count
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     same = head + tail
     if x and y:
-        at: dict[str, int] = {}
+        at: dict = {}
         for i, w in enumerate(x):
             at[w] = at.get(w, 0) | (1 << i)
         band = int((1 - threshold) * longer) + 1
@@ -193,14 +230,13 @@ def text_key(text: str) -> str:
 
 
 def sketch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    ids = WordIds()
     for b in batches:
         keys, sizes, bands = [], [], []
         for t in b["text"]:
             keys.append(text_key(t))
-            words = words_of(t)
+            words = word_hashes(t)
             sizes.append(len(words))
-            bands.append(np.unique(sketch(kmers(words, ids))))
+            bands.append(np.unique(sketch(kmers(words))))
         yield pd.DataFrame({"id": b["id"], "th": keys, "size": sizes, "bands": bands})
 
 
@@ -211,17 +247,16 @@ def verify_batches(batches: Iterator[pd.DataFrame], threshold: float = THRESHOLD
         sims = np.zeros(len(b))
         for i, (ta, tb) in enumerate(zip(b["ta"], b["tb"], strict=True)):
             if ta != last_text:
-                last_text, last = ta, words_of(ta)
+                last_text, last = ta, word_hashes(ta).tolist()
                 bag = Counter(last)
-            sims[i] = aligned(last, words_of(tb), threshold, bag)
+            sims[i] = aligned(last, word_hashes(tb).tolist(), threshold, bag)
         yield pd.DataFrame({"a": b["a"], "b": b["b"], "sim": sims})
 
 
 def token_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Hashes of each text's words, each with its occurrence number."""
-    ids = WordIds()
     for b in batches:
-        yield pd.DataFrame({"node": b["node"], "tokens": [occurrences(word_hashes(words_of(t), ids)).view(np.int64) for t in b["text"]]})
+        yield pd.DataFrame({"node": b["node"], "tokens": [occurrences(word_hashes(t)).view(np.int64) for t in b["text"]]})
 
 
 def prefix(tokens: np.ndarray, counts: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
