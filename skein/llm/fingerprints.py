@@ -1,14 +1,20 @@
 """SpotSigs: content words that follow a common-word anchor form signatures.
 
 An anchor (a common word of four languages) and the next ``CHAIN`` = 2 content
-words are one signature.  A text's fingerprint is its set of 32-bit signature
-hashes, sorted; a text without any gets the hash of its whole text instead, so
-that equal texts, and only those, stay alike.  Sets are split by length and
-compared through Jaccard, pruned where the lengths alone rule the threshold out.
+words are one signature.  A text's fingerprint is its set of 60-bit signature
+hashes, sorted.  A text without any such chain takes every three words in a row
+instead, one of under three words every ``GRAM`` code points in a row, and one too
+short for that its whole; so texts without common words are alike in part, too.
+Equal texts have equal fingerprints; the reverse holds but for texts that differ
+only outside all their chains.
+
+Sets are partitioned by length: the bounds grow by 1 / ``THRESHOLD``, so sets that
+reach the threshold lie in one partition or in neighbouring ones, and Jaccard is
+computed only where the lengths do not rule it out.
 
 Defined results: null texts count as empty; two empty texts have likeness 1;
-equal doc_ids are ordered by text; null doc_ids come first; one row in, one row
-out; extra columns are ignored; an empty table gives an empty table.
+equal doc_ids are ordered by text; null doc_ids come first, ordered by text; one
+row in, one row out; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,8 +23,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exprs import let, text_of
+from .scratch import Scratch
 
 CHAIN = 2
+GRAM = 6
+THRESHOLD = 0.8
+#: Text of one run of ids, in code points, and the most runs.
+RUN_CHARS = 8_000_000
+MAX_RUNS = 65_536
 ANCHORS = sorted(
     set(
         "the of and to in is it that for was on are as with by at from this be an or a "
@@ -37,7 +49,7 @@ def signatures(text: Column) -> Column:
     """
 
     def hashed(s: Column) -> Column:
-        return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long")
+        return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long")
 
     def by_words(ws: Column) -> Column:
         tagged = F.filter(F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~x["w"].isin(ANCHORS))
@@ -52,11 +64,24 @@ def signatures(text: Column) -> Column:
 
         return let(tagged, chains)
 
-    def whole(sigs: Column) -> Column:
-        return F.when(F.size(sigs) > 0, F.sort_array(F.array_distinct(sigs))).otherwise(F.array(hashed(F.concat(F.lit("whole "), text))))
+    def in_a_row(parts: Column, n: int, mark: str) -> Column:
+        return F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - (n - 1), F.lit(0))), lambda _, i: hashed(F.concat(F.lit(mark), F.array_join(F.slice(parts, i + 1, F.lit(n)), "\x1f"))))
+
+    def some(sigs: Column, otherwise: Column) -> Column:
+        return F.when(F.size(sigs) > 0, sigs).otherwise(otherwise)
+
+    def plain(ws: Column) -> Column:
+        whole = F.array(hashed(F.concat(F.lit("whole "), text)))
+        grams = let(let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda cs: in_a_row(cs, GRAM, "chars ")), lambda g: some(g, whole))
+        return F.when(F.size(ws) > 2, in_a_row(ws, 3, "words ")).otherwise(grams)
 
     words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
-    return let(let(words, by_words), whole)
+    return let(words, lambda ws: let(let(let(ws, by_words), lambda sigs: some(sigs, plain(ws))), lambda sigs: F.sort_array(F.array_distinct(sigs))))
+
+
+def length_partition(n: Column, threshold: float = THRESHOLD) -> Column:
+    """Index of the partition of sets of ``n`` signatures."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)
 
 
 def likeness(a: Column, b: Column, at_least: float = 0.0) -> Column:
@@ -72,30 +97,35 @@ def likeness(a: Column, b: Column, at_least: float = 0.0) -> Column:
     return F.when(F.least(na, nb) < at_least * F.greatest(na, nb), F.lit(0.0)).otherwise(full)
 
 
-def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def is_similar(a: Column, b: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether two sets reach the threshold; only sets of one or of neighbouring length partitions are compared."""
+    near = F.abs(length_partition(F.size(a), threshold) - length_partition(F.size(b), threshold)) <= 1
+    return F.when(near, likeness(a, b, threshold) >= threshold - 1e-12).otherwise(False)
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """All pairs of different fingerprints with Jaccard >= threshold, as (set_a, set_b, likeness), with the members of each set.
 
-    Texts with one fingerprint share a set and are not compared.  Sets are
-    partitioned by length: the partition bounds grow by 1 / threshold, so a set
-    meets only its own and the next partition.  Within those, the least frequent
-    ceil((1 - threshold) * n) + 1 signatures of each set are the join keys, which
-    any pair at the threshold must share.  Returns (pairs, members).
+    Texts with one fingerprint share a set and are not compared.  A set meets only
+    sets of its own and the next length partition.  Within those, the least frequent
+    floor((1 - threshold) * n) + 1 signatures of each set are the join keys, of which
+    any pair at the threshold shares one; frequent signatures come last, so they are
+    no keys, and the joins by signature read written tables, which adaptive execution
+    splits.  Returns (pairs, members).
     """
+    scratch = Scratch(docs.sparkSession, "fingerprints")
     sets = docs.select(F.col(id_col).alias("id"), signatures(text_of(text_col)).alias("sigs"))
-    members = sets.select("id", F.sha2(F.array_join("sigs", ","), 256).alias("set_id"), "sigs")
-    uniq = members.groupBy("set_id").agg(F.first("sigs").alias("sigs"))
-    freq = uniq.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("df"))
-    ranked = (
-        uniq.select("set_id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
-        .join(freq, "sig")
-        .withColumn("r", F.row_number().over(Window.partitionBy("set_id").orderBy("df", "sig")))
-        .filter(F.col("r") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1)
-        .withColumn("part", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9))
-    )
+    members = scratch.write(sets.select("id", F.md5(F.array_join("sigs", ",")).alias("set_id"), "sigs"))
+    uniq = scratch.write(members.groupBy("set_id").agg(F.any_value("sigs").alias("sigs")))
+    freq = scratch.write(uniq.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("df")))
+    placed = scratch.write(uniq.select("set_id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig")).join(freq.hint("merge"), "sig"))
+    keys = placed.groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("ranked"))
+    keep = (F.floor((1 - threshold) * F.col("n") + 1e-9) + 1).cast("int")
+    ranked = scratch.write(keys.select("set_id", "n", F.explode(F.slice("ranked", F.lit(1), keep)).alias("r")).select("set_id", "n", "r.sig", length_partition(F.col("n"), threshold).alias("part")))
     left = ranked.select(F.col("set_id").alias("set_a"), F.col("n").alias("na"), "sig", "part")
     right = ranked.select(F.col("set_id").alias("set_b"), F.col("n").alias("nb"), "sig", F.explode(F.array("part", F.col("part") - 1)).alias("part"))
     cand = (
-        left.join(right, ["sig", "part"])
+        left.join(right.hint("merge"), ["sig", "part"])
         .filter((F.col("set_a") != F.col("set_b")) & (F.col("na") <= F.col("nb")) & (F.col("na") >= threshold * F.col("nb") - 1e-9))
         .select(F.least("set_a", "set_b").alias("set_a"), F.greatest("set_a", "set_b").alias("set_b"))
         .distinct()
@@ -106,49 +136,61 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return pairs, members.select("id", "set_id")
 
 
-def id_bounds(docs: DataFrame, id_col: str, n: int) -> list[int]:
-    """Up to ``n`` ids that cut the table into runs of near equal size; the first is the smallest id.
+def order_key(id_: Column, tie: Column) -> Column:
+    """A number that never falls along the order of (id, nulls first; tie, an MD5): nulls are spread by their tie, far below other ids."""
+    low = -(2**63)
+    return F.when(id_.isNull(), F.conv(F.substring(tie, 1, 14), 16, 10).cast("long") + F.lit(low)).otherwise(F.greatest(id_.cast("long"), F.lit(low + 2**57)))
+
 
-    The list is as long as the number of partitions asked for, not the table.
+def key_bounds(keyed: DataFrame, least: int) -> list[int]:
+    """Keys that cut the table into runs of near equal row counts; the first is the smallest key.
+
+    As many as hold ``RUN_CHARS`` of text each, ``least`` at least and ``MAX_RUNS``
+    at most: the list grows with the table to that bound, after which runs do, and
+    their sorts spill.
     """
-    accuracy = max(10_000, 10 * n)
-    row = docs.agg(F.percentile_approx(id_col, F.array(*[F.lit(i / n) for i in range(n)]), F.lit(accuracy)).alias("q"), F.min(id_col).alias("low")).first()
-    return sorted({row["low"], *(row["q"] or [])}) if row["low"] is not None else []
+    row = keyed.agg(F.sum("_chars").alias("chars"), F.min("_key").alias("low")).first()
+    if row["low"] is None:
+        return []
+    n = min(MAX_RUNS, max(least, -(-(row["chars"] or 0) // RUN_CHARS)))
+    q = keyed.agg(F.percentile_approx("_key", F.array(*[F.lit(i / n) for i in range(n)]), F.lit(max(10_000, 10 * n)))).first()[0]
+    return sorted({row["low"], *(q or [])})
+
+
+def bucket_of(key: Column, bounds: list[int]) -> Column:
+    """Index of the last bound <= key, found in two steps of about sqrt(n) comparisons."""
 
+    def numbers(xs: list[int]) -> Column:
+        # one literal, folded once, where a list would be as many expressions
+        return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
 
-def bucket_of(id_: Column, bounds: list[int]) -> Column:
-    """Index of the last bound <= id, found in two steps of about sqrt(n) comparisons."""
     step = max(1, int(len(bounds) ** 0.5))
-    coarse = bounds[::step]
-    first = F.size(F.filter(F.lit(coarse), lambda b: b <= id_)) - 1
-    return let(first, lambda c: c * step + F.size(F.filter(F.slice(F.lit(bounds), c * step + 1, F.lit(step)), lambda b: b <= id_)) - 1).cast("int")
+    first = F.size(F.filter(numbers(bounds[::step]), lambda b: b <= key)) - 1
+    return let(first, lambda c: c * step + F.size(F.filter(F.slice(numbers(bounds), c * step + 1, F.lit(step)), lambda b: b <= key)) - 1).cast("int")
 
 
-def with_next(docs: DataFrame, id_col: str, cols: list[str], n_buckets: int) -> DataFrame:
-    """Each row with ``next``, the struct of ``cols`` of the row that follows by id (the last: of the first).
+def with_next(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id, text, sigs of each row, with ``next``, the struct (text, sigs) of the row that follows by id (the last: of the first).
 
-    Rows are dealt to runs of ids cut at ``id_bounds``; the first row of a run
+    Rows are dealt to runs of ids cut at ``key_bounds``; the first row of a run
     is also sent, as a sentinel, to the run before, so every run is settled alone
-    and no text is held back for a global window.
+    and no text is held back for a global window.  Only texts are shuffled.
     """
-    bounds = id_bounds(docs, id_col, n_buckets)
+    keyed = docs.withColumn("_tie", F.md5("text"))
+    keyed = keyed.withColumn("_key", order_key(F.col("doc_id"), F.col("_tie"))).withColumn("_chars", F.length("text").cast("long"))
+    bounds = key_bounds(keyed, least)
     if not bounds:
-        # only null ids, or nothing: one run ordered by content
-        w = Window.partitionBy(F.lit(0)).orderBy("_t")
-        body = docs.withColumn("_t", F.sha2(F.coalesce(F.col(cols[0]).cast("string"), F.lit("")), 256))
-        first = F.first(F.struct(*cols)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        return body.withColumn("next", F.coalesce(F.lead(F.struct(*cols)).over(w), first)).drop("_t")
+        return docs.withColumn("sigs", signatures(F.col("text"))).withColumn("next", F.struct("text", "sigs"))
     last = len(bounds) - 1
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(bounds[0]))
-    nulls = F.col(id_col).isNull()
-    dealt = docs.withColumn("_bucket", bucket_of(key, bounds)).withColumn("_tie", F.sha2(F.coalesce(F.col(cols[0]).cast("string"), F.lit("")), 256))
-    # among rows that start a run, ties and null ids are ordered by content; only the first becomes the sentinel
-    starts = F.array_contains(F.lit(bounds), key)
-    sent = dealt.select("*", F.explode(F.when(starts, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("_sentinel"))
-    sent = sent.withColumn("_bucket", F.when(F.col("_sentinel"), F.when(F.col("_bucket") == 0, F.lit(last)).otherwise(F.col("_bucket") - 1)).otherwise(F.col("_bucket")))
-    w = Window.partitionBy("_bucket").orderBy(F.col("_sentinel"), F.col(id_col).asc_nulls_first(), "_tie")
-    out = sent.withColumn("next", F.lead(F.struct(*cols)).over(w)).filter(~F.col("_sentinel"))
-    return out.drop("_bucket", "_tie", "_sentinel")
+    dealt = keyed.withColumn("_bucket", bucket_of(F.col("_key"), bounds))
+    # rows that may start a run have a bound as their key; of those, the first by id and tie is met first
+    starts = F.col("_key").isin(bounds) if last < 64 else F.array_contains(F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>"), F.col("_key"))
+    sent = dealt.select("doc_id", "text", "_tie", "_bucket", F.explode(F.when(starts, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("_sentinel"))
+    before = F.when(F.col("_bucket") == 0, F.lit(last)).otherwise(F.col("_bucket") - 1)
+    sent = sent.withColumn("_bucket", F.when(F.col("_sentinel"), before).otherwise(F.col("_bucket")))
+    signed = sent.repartition(max(least, last + 1), "_bucket").withColumn("sigs", signatures(F.col("text")))
+    w = Window.partitionBy("_bucket").orderBy(F.col("_sentinel"), F.col("doc_id").asc_nulls_first(), "_tie")
+    return signed.withColumn("next", F.lead(F.struct("text", "sigs")).over(w)).filter(~F.col("_sentinel")).select("doc_id", "text", "sigs", "next")
 
 
 def edited(text: Column, following: Column, n_chars: Column) -> Column:
@@ -162,10 +204,8 @@ def fingerprint_string(sigs: Column) -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    docs = docs.withColumn("sigs", signatures(F.col("text")))
-    both = with_next(docs, "doc_id", ["text", "sigs"], n)
+    both = with_next(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n_chars = F.length("text").cast("long")
     both = both.select("doc_id", n_chars.alias("n_chars"), "sigs", F.col("next.sigs").alias("next_sigs"), edited(F.col("text"), F.col("next.text"), n_chars).alias("edited"))
     both = both.select("*", signatures(F.col("edited")).alias("edited_sigs"))
@@ -177,6 +217,8 @@ def query(spark, sf_dir: str) -> DataFrame:
         fingerprint_string(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        is_similar(F.col("sigs"), F.col("edited_sigs")).alias("similar_edited"),
+        is_similar(F.col("sigs"), F.col("next_sigs")).alias("similar_next"),
     )
 
 
@@ -189,11 +231,15 @@ def sql() -> str:
 {out}_p AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM {out}_w),
 {out}_c AS (SELECT doc_id, w, i, coalesce(lag(i) OVER k, 0) AS prev, lead(w) OVER k AS nxt
    FROM {out}_p WHERE w NOT IN ({anchors}) WINDOW k AS (PARTITION BY doc_id ORDER BY i)),
-{out}_s AS (SELECT DISTINCT c.doc_id, ('0x' || substr(md5(a.w || ' ' || c.w || ' ' || c.nxt), 1, 8))::BIGINT AS s
+{out}_s AS (SELECT DISTINCT c.doc_id, ('0x' || substr(md5(a.w || ' ' || c.w || ' ' || c.nxt), 1, 15))::BIGINT AS s
    FROM {out}_c c JOIN {out}_p a ON a.doc_id = c.doc_id AND a.i > c.prev AND a.i < c.i WHERE c.nxt IS NOT NULL),
 {out}_g AS (SELECT doc_id, list(s ORDER BY s) AS sg FROM {out}_s GROUP BY doc_id),
-{out} AS (SELECT w.doc_id, t, coalesce(sg, [('0x' || substr(md5('whole ' || t), 1, 8))::BIGINT]) AS sg
-   FROM {out}_w w LEFT JOIN {out}_g USING (doc_id))"""
+{out}_r AS (SELECT doc_id, t, CASE WHEN len(ws) > 2 THEN ws ELSE regexp_extract_all(t, '(?s).') END AS ps,
+   CASE WHEN len(ws) > 2 THEN 3 ELSE {GRAM} END AS k, CASE WHEN len(ws) > 2 THEN 'words ' ELSE 'chars ' END AS mark FROM {out}_w),
+{out}_q AS (SELECT doc_id, t, list_transform(range(1, greatest(len(ps) - k + 2, 1)), lambda i: ('0x' || substr(md5(mark || array_to_string(ps[i : i + k - 1], chr(31))), 1, 15))::BIGINT) AS qs
+   FROM {out}_r WHERE doc_id NOT IN (SELECT doc_id FROM {out}_g)),
+{out} AS (SELECT w.doc_id, w.t, coalesce(sg, CASE WHEN len(qs) > 0 THEN list_sort(list_distinct(qs)) END, [('0x' || substr(md5('whole ' || w.t), 1, 15))::BIGINT]) AS sg
+   FROM {out}_w w LEFT JOIN {out}_g USING (doc_id) LEFT JOIN {out}_q USING (doc_id))"""
 
     jac = "len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1})))"
     return f"""
@@ -204,6 +250,7 @@ e AS (SELECT doc_id, substr(t, 1, length(t) - length(t) // 2) || substr(nt, 1, l
 {sigs('d', 'f')}, {sigs('e', 'h')}
 SELECT n.doc_id, length(n.t)::BIGINT AS n_chars, sha256(h.t) AS edited_sha256,
   array_to_string(f.sg, ' ') AS fingerprint, array_to_string(h.sg, ' ') AS edited_fingerprint,
-  {jac.format('f.sg', 'h.sg')} AS near_edited, {jac.format('f.sg', 'x.sg')} AS near_next
+  {jac.format('f.sg', 'h.sg')} AS near_edited, {jac.format('f.sg', 'x.sg')} AS near_next,
+  {jac.format('f.sg', 'h.sg')} >= {THRESHOLD} - 1e-12 AS similar_edited, {jac.format('f.sg', 'x.sg')} >= {THRESHOLD} - 1e-12 AS similar_next
 FROM n JOIN f USING (doc_id) JOIN h USING (doc_id) JOIN f x ON x.doc_id = n.nid
 """
