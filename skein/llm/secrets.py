@@ -1,9 +1,12 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Base spans are three patterns.  Further candidates (key blocks, signed web
-tokens, service tokens with known prefixes) become spans only if the corpus says
-that they look live: every candidate's hash is counted over distinct owners and
-repositories, and what several owners hold is a copied example.
+tokens, service tokens with known prefixes, keys of cloud services, passwords in
+addresses, bearer headers, hook addresses) become spans only if the corpus says that they look
+live.  Every candidate's hash is counted over distinct owners (``source``) and
+repositories (source and language): a value of ``EXAMPLE_OWNERS`` owners is a
+copied example, a value of one owner is that owner's in however many repositories,
+and one of a few owners is an example once ``EXAMPLE_REPOS`` repositories hold it.
 
 Defined results: null texts count as empty; null owners count as one owner;
 repeated rows get repeated results and count once in the frequencies; extra
@@ -26,12 +29,17 @@ BASE = (
 )
 #: kind, pattern; each is at least as long as it says, so none is dropped afterwards.
 EXTRA = (
-    ("key_block", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}+"),
+    ("key_block", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:\s{1,4}[A-Za-z0-9+/=]{16,}+)++"),
     ("web_token", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
-    ("service_token", r"(?:gh[pousr]_|sk_live_|xox[abprs]-|glpat-)[A-Za-z0-9-]{20,}+"),
+    ("service_token", r"(?:gh[pousr]_|github_pat_|sk_live_|rk_live_|xox[abprs]-|glpat-|npm_|pypi-|hf_|dop_v1_|shpat_)[A-Za-z0-9_-]{20,}+"),
+    ("cloud_key", r"AIza[A-Za-z0-9_-]{35}|SG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,64}"),
+    ("url_password", r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._%-]{1,64}+:[^\s:/@]{6,64}+@"),
+    ("bearer", r"(?i:authorization)[\"']?\x20*[:=]\x20*[\"']?(?i:bearer)\x20+[A-Za-z0-9._~+/-]{20,}+"),
+    ("hook", r"https://hooks\.slack\.com/services/[A-Za-z0-9]{8,}+/[A-Za-z0-9]{8,}+/[A-Za-z0-9]{20,}+"),
 )
-#: So many distinct owners, or more, make a value a copied example.
+#: So many distinct owners, or more, make a value a copied example; so do so many repositories of two owners or more.
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOS = 4
 
 
 def base_and_extra(text: Column) -> Column:
@@ -67,7 +75,8 @@ def ownership(spans: DataFrame) -> DataFrame:
     per_repo = spans.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
     per_owner = per_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     per = per_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_rows"))
-    return per.withColumn("verdict", F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").otherwise("live"))
+    copied = (F.col("n_owners") >= EXAMPLE_OWNERS) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= EXAMPLE_REPOS))
+    return per.withColumn("verdict", F.when(copied, "example").otherwise("live"))
 
 
 def scan(docs: DataFrame, **columns) -> DataFrame:
@@ -77,11 +86,13 @@ def scan(docs: DataFrame, **columns) -> DataFrame:
     found = scratch.write(candidates(docs, **columns))
     some = (F.size("base") + F.size("extra")) > 0
     each = found.filter(some).select("key", "owner", "repo", F.explode(F.concat("base", "extra")).alias("s"))
-    freq = ownership(each.select(F.col("s.hash").alias("hash"), "owner", "repo"))
+    each = scratch.write(each.select("key", "owner", "repo", F.col("s.hash").alias("hash")).distinct())
+    verdicts = scratch.write(ownership(each).select("hash", "verdict"))
+    # all holders of a common value meet one verdict: written tables and a sort-merge, which adaptive execution splits
     marked = (
-        each.select("key", F.col("s.hash").alias("hash")).distinct().join(freq, "hash")
+        each.select("key", "hash").join(verdicts.hint("merge"), "hash")
         .groupBy("key")
-        .agg(F.collect_list(F.when(F.col("verdict") == "live", F.col("hash"))).alias("live"), F.count(F.when(F.col("verdict") == "example", 1)).alias("n_example"))
+        .agg(F.collect_set(F.when(F.col("verdict") == "live", F.col("hash"))).alias("live"), F.count_distinct(F.when(F.col("verdict") == "example", F.col("hash"))).alias("n_example"))
     )
     marked = marked.withColumnRenamed("key", "_k")
     hit = found.filter(some).join(marked, F.col("key") == F.col("_k"), "left").drop("_k")
