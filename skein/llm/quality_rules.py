@@ -1,5 +1,9 @@
 """Quality rules: one projection of length, symbol, stop-word and line ratios.
 
+The threshold table ``RULES`` compiles into whole-number comparisons: mean word
+length, symbols, stop words (of four languages, in either case, marks around them
+aside) and words with letters to words; repeated, bullet and ellipsis lines to lines.
+
 Defined results: a null text counts as empty; an empty text has no words and
 fails; repeated rows give repeated results; extra columns are ignored; an empty
 table gives an empty table.
@@ -22,10 +26,13 @@ STOP_WORDS = {
 }
 
 
+#: Marks at the ends of words that do not belong to them.
+MARKS = ".,;:!?()[]{}'\"*_-"
+
+
 def stop_words() -> list[str]:
-    """The words of all languages, lower-case and with a capital."""
-    low = sorted({w for ws in STOP_WORDS.values() for w in ws.split()})
-    return sorted({*low, *(w.capitalize() for w in low)})
+    """The words of all languages, lower-case."""
+    return sorted({w for ws in STOP_WORDS.values() for w in ws.split()})
 
 
 @dataclass(frozen=True)
@@ -44,7 +51,10 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", 2_000, 15_000),
     Rule("symbols", "n_symbols", "n_words", None, 300),
     Rule("stop_words", "n_stop_words", "n_words", 20, None),
+    Rule("letters", "n_letter_words", "n_words", 600, None),
     Rule("dup_lines", "n_dup_lines", "n_lines", None, 300),
+    Rule("bullets", "n_bullet_lines", "n_lines", None, 900),
+    Rule("ellipses", "n_ellipsis_lines", "n_lines", None, 300),
 )
 
 
@@ -86,7 +96,10 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     F.size(lines).cast("long").alias("n_lines"),
                     (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
                     repeated_words(ws).alias("n_repeat_words"),
-                    F.size(F.filter(ws, lambda w: w.isin(stop_words()))).cast("long").alias("n_stop_words"),
+                    F.size(F.filter(ws, lambda w: F.lower(F.btrim(w, F.lit(MARKS))).isin(stop_words()))).cast("long").alias("n_stop_words"),
+                    F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
+                    F.size(F.filter(lines, lambda ln: ln.rlike(r"^\s*[-*\x{2022}]\s"))).cast("long").alias("n_bullet_lines"),
+                    F.size(F.filter(lines, lambda ln: ln.rlike(r"(?:\.\.\.|\x{2026})\s*$"))).cast("long").alias("n_ellipsis_lines"),
                 )
 
             return let(F.filter(F.split(t, "\n"), lambda ln: ln.rlike(NOT_WS)), by_lines)
@@ -124,17 +137,17 @@ def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = apply_rules(docs)
-    return out.select("doc_id", *[F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
+    return out.select("doc_id", *[F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "failed_rules", "kept")
 
 
 def sql() -> str:
     stops = ", ".join("'" + w + "'" for w in stop_words())
-    bad = []
+    marks = MARKS.replace("'", "''")
+    tests = []
     for r in RULES:
-        if r.low is not None:
-            bad.append(f"{r.metric} * 1000 < {r.low} * {r.per}")
-        if r.high is not None:
-            bad.append(f"{r.metric} * 1000 > {r.high} * {r.per}")
+        bad = [f"{r.metric} * 1000 < {r.low} * {r.per}"] if r.low is not None else []
+        bad += [f"{r.metric} * 1000 > {r.high} * {r.per}"] if r.high is not None else []
+        tests.append(f"CASE WHEN {' OR '.join(bad)} THEN '{r.name}' END")
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t,
@@ -150,10 +163,13 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,
         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
         len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-        len(list_filter(ws, lambda x: x IN ({stops})))::BIGINT AS n_stop_words
+        len(list_filter(ws, lambda x: lower(trim(x, '{marks}')) IN ({stops})))::BIGINT AS n_stop_words,
+        len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}')))::BIGINT AS n_letter_words,
+        len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*\x{{2022}}]\s')))::BIGINT AS n_bullet_lines,
+        len(list_filter(ls, lambda x: regexp_matches(x, '(?:\.\.\.|\x{{2026}})\s*$')))::BIGINT AS n_ellipsis_lines
       FROM w LEFT JOIN r USING (doc_id)),
 v AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-        ({" OR ".join(bad)}) AS rejected FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  (NOT base_failed AND NOT rejected) AS kept FROM v
+        concat_ws(',', {", ".join(tests)}) AS failed_rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules,
+  (NOT base_failed AND failed_rules = '') AS kept FROM v
 """
