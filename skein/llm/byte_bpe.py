@@ -1,11 +1,15 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
 Texts up to ``CHUNK`` code points are one chunk.  Longer ones are cut into
-overlapping chunks that are pre-tokenised in parallel; neighbours are stitched at
-the first pre-token boundary in the overlap on which both agree, since a match of
-the pattern depends only on what follows its start; the pieces between stitches
-are encoded in parallel and their ids joined.  A text whose neighbours agree
-nowhere is encoded in one piece.  Decoding concatenates the raw bytes of the ids.
+overlapping chunks that are pre-tokenised in parallel.  The pattern looks ahead
+only, so the pre-tokens from a boundary on do not depend on what is before it:
+where a pre-token of the next chunk starts at a boundary that this chunk agrees on,
+both go on alike.  Neighbours are stitched at the first such boundary in their
+overlap, the pieces between stitches are encoded in parallel, each with the text
+behind it at hand for what the pattern looks ahead to, and their ids are joined.
+Neighbours that agree nowhere, as inside one very long pre-token, are one piece
+together; the rest of the text is not.  Decoding concatenates the raw bytes of the
+ids.
 
 Defined results: a null text is empty and has no ids; repeated rows give repeated
 results; rows with one doc_id are encoded each by its own text; extra columns are
@@ -21,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exprs import text_of
@@ -30,6 +34,8 @@ from .scratch import Scratch
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK = 32_768
 OVERLAP = 2_048
+#: The longest contraction of the pattern and one character to look ahead.
+LOOK = 4
 
 
 @lru_cache(maxsize=4)
@@ -66,22 +72,29 @@ def decode_ids(ids: bytes, path: str) -> bytes:
     return encoding(path).decode_bytes(np.frombuffer(ids, "<u4").tolist())
 
 
-def safe_cuts(text: str, low: int, high: int, starts: set[int]) -> list[int]:
-    """Pre-token starts in [low, high) between an ASCII letter or digit and a blank with a letter.
+def starts_of(text: str) -> list[int]:
+    return [m.start() for m in pre_tokens().finditer(text)]
 
-    There no white-space rule looks across, so the text before and after encode as they do together.
+
+def boundaries(text: str, own: int, overlap: int = OVERLAP) -> tuple[list[int], list[int]]:
+    """Boundaries in a chunk's head, and in its overlap as places of the next chunk; ``own`` is its length without the overlap.
+
+    Within ``LOOK`` of the chunk's end a match may be another than in the whole text.
     """
-    out = []
-    for p in range(max(low, 1), min(high, len(text) - 1)):
-        if p in starts and text[p] == " " and text[p - 1].isascii() and text[p - 1].isalnum() and text[p + 1].isalpha():
-            out.append(p)
-    return out
+    starts = starts_of(text)
+    return [p for p in starts if p < overlap], [p - own for p in starts if own <= p <= len(text) - LOOK]
 
 
-def boundaries(text: str, own: int) -> tuple[list[int], list[int]]:
-    """Safe boundaries in a chunk's head, and in its tail as places of the next chunk; ``own`` is its length without the overlap."""
-    starts = {m.start() for m in pre_tokens().finditer(text)}
-    return safe_cuts(text, 0, OVERLAP, starts), [p - own for p in safe_cuts(text, own, own + OVERLAP, starts)]
+def encode_part(text: str, upto: int, path: str) -> bytes:
+    """Ids of the pre-tokens of ``text`` that start before ``upto``, where one starts; what is behind is only looked at."""
+    part = text[:upto]
+    if upto < len(text):
+        inside = [m.span() for m in pre_tokens().finditer(text, 0) if m.start() < upto]
+        if [s for s, _ in inside] != starts_of(part) or (inside and inside[-1][1] != upto):
+            # cut off from what follows, the end of the part would fall apart otherwise
+            ids = [i for s, e in inside for i in encoding(path)._encode_single_piece(text[s:e].encode("utf-8", "surrogatepass"))]
+            return np.array(ids, "<u4").tobytes()
+    return encode_text(part, path)
 
 
 def chunk_rows(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -107,47 +120,54 @@ def _digest(doc_ids, pieces, path: str) -> pd.DataFrame:
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_whole(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
-    """(key, text) encoded text by text: digests, or the ids themselves as ``ids`` binary."""
+def encode_whole(docs: DataFrame, path: str) -> DataFrame:
+    """(key, text) encoded text by text: digests."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [encode_text(t, path) for t in b["text"]]
-            yield pd.DataFrame({"key": b["key"], "ids": out}) if ids else _digest(b["key"], out, path)
+            yield _digest(b["key"], [encode_text(t, path) for t in b["text"]], path)
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", "text").mapInPandas(run, f"key {kind}, ids binary" if ids else f"key {kind}, {DIGEST}")
+    return docs.select("key", "text").mapInPandas(run, f"key {kind}, {DIGEST}")
 
 
-def encode_long(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
+def encode_long(docs: DataFrame, path: str, scratch: Scratch, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(key, text), keys distinct, by overlapping chunks: key, ids."""
-    rows = scratch.write(chunk_rows(docs).repartition("key", "i"))
+    rows = scratch.write(chunk_rows(docs, chunk, overlap).repartition("key", "i"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [boundaries(t, n) for t, n in zip(b["text"], b["own"], strict=True)]
+            found = [boundaries(t, n, overlap) for t, n in zip(b["text"], b["own"], strict=True)]
             yield pd.DataFrame({"key": b["key"], "i": b["i"], "heads": [x[0] for x in found], "tails": [x[1] for x in found]})
 
     seen = scratch.write(rows.mapInPandas(scan, "key string, i int, heads array<int>, tails array<int>"))
     before = seen.select("key", (F.col("i") + 1).alias("i"), "tails")
     cuts = seen.select("key", "i", "heads").join(before, ["key", "i"]).select("key", "i", F.array_min(F.array_intersect("heads", "tails")).alias("cut"))
     cuts = scratch.write(cuts)
-    lost = cuts.filter("cut IS NULL").select("key").distinct()
-    nexts = cuts.select("key", (F.col("i") - 1).alias("i"), F.col("cut").alias("next_cut"))
-    pieces = (
-        rows.join(lost, "key", "left_anti").join(cuts, ["key", "i"], "left").join(nexts, ["key", "i"], "left")
-        .select("key", "i", F.substring("text", F.coalesce("cut", F.lit(0)) + 1, F.col("own") + F.coalesce("next_cut", F.lit(0)) - F.coalesce("cut", F.lit(0))).alias("text"))
-    )
+    nexts = cuts.select("key", (F.col("i") - 1).alias("i"), F.col("cut").alias("next_cut"), F.lit(True).alias("more"))
+    # a chunk's part runs from its stitch to the next one's; without a stitch it belongs to the part before
+    parts = rows.join(cuts, ["key", "i"], "left").join(nexts, ["key", "i"], "left").withColumn("more", F.coalesce("more", F.lit(False)))
+    lost_before, lost_behind = F.col("cut").isNull() & (F.col("i") > 0), F.col("next_cut").isNull() & F.col("more")
+    from_ = F.coalesce("cut", F.lit(0))
+    upto = F.when(F.col("more") & F.col("next_cut").isNotNull(), F.col("own") + F.col("next_cut")).otherwise(F.col("own")) - from_
+    # where the next chunk belongs to this part, its text follows on, so the overlap is left out
+    text = F.when(lost_behind, F.substring("text", from_ + 1, F.col("own") - from_)).otherwise(F.substring("text", from_ + 1, F.length("text")))
+    parts = parts.select("key", "i", text.alias("text"), upto.alias("upto"), lost_before.alias("lost_before"), lost_behind.alias("lost_behind"))
+    alone = parts.filter("NOT lost_before AND NOT lost_behind").select("key", "i", "text", "upto")
+    # runs of chunks that agree nowhere
+    lost = scratch.write(parts.filter("lost_before OR lost_behind"))
+    w = Window.partitionBy("key").orderBy("i")
+    run = F.sum(F.when(F.col("lost_before"), 0).otherwise(1)).over(w)
+    merged = lost.withColumn("run", run).groupBy("key", "run").agg(F.array_sort(F.collect_list(F.struct("i", "text", "upto"))).alias("p"))
+    merged = merged.select("key", F.array_min("p.i").alias("i"), F.array_join("p.text", "").alias("text"), F.aggregate("p.upto", F.lit(0), lambda s, x: s + x).alias("upto"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "i": b["i"], "ids": [encode_text(t, path) for t in b["text"]]})
+            yield pd.DataFrame({"key": b["key"], "i": b["i"], "ids": [encode_part(t, n, path) for t, n in zip(b["text"], b["upto"], strict=True)]})
 
-    done = pieces.mapInPandas(encode, "key string, i int, ids binary")
+    done = alone.unionByName(merged).mapInPandas(encode, "key string, i int, ids binary")
     # the ids of one text, no more, meet in one group
-    joined = done.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("p")).select("key", F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["ids"])).alias("ids"))
-    whole = encode_whole(docs.join(lost, "key"), path, ids=True)
-    return joined.unionByName(whole)
+    return done.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("p")).select("key", F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["ids"])).alias("ids"))
 
 
 def digest_ids(df: DataFrame, path: str) -> DataFrame:
