@@ -4,10 +4,12 @@ Base spans (email, ip, card, phone) are exact patterns and always stay.  Looser
 candidates (disguised emails, local phone numbers, social security numbers,
 account numbers) are voted on by four labelers: a format check, a gazetteer, the
 words before, and the characters around.  Expectation-maximisation over the counts
-of vote patterns of the whole corpus estimates each labeler's reliability, and a
-logistic classifier of the votes and the shape, trained on its posteriors,
-decides.  There are at most 8 * 3^4 * 4 patterns whatever the corpus holds, so the
-counts that reach the driver are bounded, and all spans are in them.
+of vote patterns of the whole corpus estimates each labeler's reliability.  A
+logistic classifier, trained on its posteriors, decides by the votes and by what
+the labelers do not look at: length, share of digits, the separator inside, and
+whether a word of the kind stands behind.  There are at most
+8 * 3^4 * 4 * 4 * 6 * 2 patterns whatever the corpus holds, so the counts that reach
+the driver are bounded, and all spans are in them.
 
 Defined results: null texts count as empty; repeated rows give repeated results
 and count as often as they stand; extra columns are ignored; an empty table, or
@@ -44,9 +46,19 @@ EXTRA = (
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
 )
 ORDER = {k: i for i, k in enumerate([*BASE, *(k for k, _ in EXTRA)])}
-DOMAINS = frozenset("com net org edu gov io de fr es uk eu info".split())
-CALL_CODES = ("1", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "62", "64", "65", "81", "82", "86", "90", "91", "351", "352", "353", "358", "420")
-ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65")
+# Common top-level domains, telephone country codes, first digits of card issuers, and countries of account numbers.
+DOMAINS = frozenset(
+    """com net org edu gov mil int info biz io co me app dev ai tv cc xyz online site tech cloud eu us uk ca au nz ie de fr es it pt nl be
+    ch at se no dk fi pl cz sk hu ro bg gr tr ru ua jp cn kr tw hk sg in id my th vn ph br ar cl mx pe za ng ke eg il ae sa""".split()
+)
+CALL_CODES = tuple(
+    """1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98
+    212 213 216 218 220 221 225 229 233 234 237 243 244 249 251 254 255 256 260 263 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375
+    376 377 380 381 385 386 387 389 420 421 423 502 503 504 505 506 507 509 591 593 595 598 852 853 855 880 886 961 962 963 964 965 966 968 971
+    972 973 974 977 992 994 995 996 998""".split()
+)
+ISSUERS = ("2", "30", "34", "35", "36", "37", "38", "4", "50", "51", "52", "53", "54", "55", "56", "58", "6011", "62", "63", "64", "65", "67")
+IBAN_COUNTRIES = frozenset("AD AE AL AT AZ BA BE BG BH BR CH CR CY CZ DE DK EE ES FI FO FR GB GE GI GL GR HR HU IE IL IS IT KW KZ LB LI LT LU LV MC MD ME MK MT NL NO PL PT QA RO RS SA SE SI SK SM TN TR UA".split())
 HINTS = {
     "email": "email mail e-mail contact write courriel correo".split(),
     "phone": "phone tel call fax mobile telephone telefon telefono téléphone cell".split(),
@@ -127,7 +139,7 @@ def iban_ok(s: str) -> bool:
 
 
 def votes(t: str, start: int, kind: str, end: int) -> str:
-    """kind|votes|shape; a vote is 1, 0 or - (abstains)."""
+    """kind|votes|shape; a vote is 1, 0 or - (abstains), the shape has a digit each for length, digits, separator and words behind."""
     s = t[start:end]
     d = "".join(c for c in s if c in "0123456789")
     family = kind.split("_")[0]
@@ -148,12 +160,15 @@ def votes(t: str, start: int, kind: str, end: int) -> str:
     elif kind == "ssn":
         form, known = "1" if d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000" else "0", "-"
     else:
-        form, known = "1" if iban_ok(s) else "0", "1" if s[:2] in ("DE", "FR", "ES", "GB", "IT", "NL", "BE", "AT", "CH") else "-"
+        form, known = "1" if iban_ok(s) else "0", "1" if s[:2] in IBAN_COUNTRIES else "0"
     before = [w.lower() for w in WORDS_BEFORE.findall(t[max(0, start - 40) : start])[-4:]]
     context = "1" if any(w in HINTS[family] for w in before) else "0" if any(w in AGAINST for w in before) else "-"
     around = (t[start - 1] if start else " ") + (t[end] if end < len(t) else " ")
     edge = "0" if any(c.isalnum() or c in "_/=" for c in around) else "1"
-    shape = min(3, len(s) // 10)
+    between = "".join(c for c in s if not c.isalnum())
+    separator = 0 if not between else 5 if len(set(between)) > 1 else " .-(".find(between[0]) + 1
+    behind = int(any(w.lower() in HINTS[family] for w in WORDS_BEFORE.findall(t[end : end + 30])[:3]))
+    shape = f"{min(3, len(s) // 10)}{min(3, 4 * len(d) // len(s))}{separator}{behind}"
     return f"{kind}|{form}{known}{context}{edge}|{shape}"
 
 
@@ -200,12 +215,11 @@ def em(patterns: dict[str, int], rounds: int = 50) -> tuple[dict[str, float], np
 
 def features(key: str) -> np.ndarray:
     kind, vote, shape = key.split("|")
-    x = np.zeros(1 + len(ORDER) + 3 * len(vote) + 4)
+    sizes = (len(ORDER), *[3] * len(vote), 4, 4, 6, 2)
+    at = (ORDER[kind], *["01-".index(c) for c in vote], *map(int, shape))
+    x = np.zeros(1 + sum(sizes))
     x[0] = 1
-    x[1 + ORDER[kind]] = 1
-    for j, c in enumerate(vote):
-        x[1 + len(ORDER) + 3 * j + "01-".index(c)] = 1
-    x[1 + len(ORDER) + 3 * len(vote) + int(shape)] = 1
+    x[1 + np.cumsum((0, *sizes[:-1])) + np.array(at)] = 1
     return x
 
 
