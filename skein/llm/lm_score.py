@@ -1,153 +1,181 @@
 """Cross-entropy difference of two matched n-gram models.
 
-Tokens are the bytes of the UTF-8 text, so both models share one closed vocabulary
-of 256 and no token is ever unknown.  Trigram counts of the labelled good
-documents (target) and of all documents (background) are summed over the whole
-corpus; the background counts are scaled to the target's mass, so that smoothing
-treats both models alike.  Each order is interpolated with the one below
-(Witten-Bell).  A document's score is its mean loss per token under the target
-model less that under the background model: the lower, the closer to the target.
-
-What is gathered is every task's counts; their sum has 256^3 cells at most,
-whatever the corpus, which bounds what the driver and each worker hold.
+Tokens are words and single marks, lower-cased; a token's class is its hash in
+``VOCAB``, so both models share one closed vocabulary and no token is unknown.
+Unigrams and bigrams (in ``CELLS`` hashed cells) of the target documents and of all
+documents are counted over the whole corpus.  The models are matched: background
+counts are scaled to the target's mass, and both back off from bigram to unigram to
+uniform with the same pseudo-counts, so what neither has seen often costs the same.
+A document is scored held out: its own counts are taken from the background, and
+from the target model if it is a target.  Its score is its mean loss per token
+under the target model less that under the background: the lower, the closer to the
+target.
+
+What is gathered grows with the corpus up to ``VOCAB`` + ``CELLS`` cells, which
+bounds what the driver and each worker hold; beyond, rare bigrams share cells.
 
 Defined results: null texts count as empty; a text without tokens has null losses
 and score; labels that repeat count once, and a document is a target if any of its
-labels says so; without targets every score is 0; repeated rows give repeated
-results; extra columns are ignored; an empty table gives an empty table.
+labels says so; rows with one doc_id are targets together, each held out by itself;
+a null doc_id is no target; without targets every score is 0; repeated rows give
+repeated results; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exprs import text_of
 
-CELLS = 1 << 24
+TOKEN = re.compile(r"\w+|[^\w\s]")
+VOCAB = 1 << 18
+CELLS = 1 << 23
+#: The class that starts and ends each text.
+EDGE = VOCAB
+SIZE = VOCAB + 1 + CELLS
+#: Pseudo-counts of the unigram behind a bigram, and of the uniform behind a unigram, a class.
+BIGRAM_PRIOR = 4.0
+UNIGRAM_PRIOR = 0.1
 #: Target ids up to so many (16 MB) go to every task; more are joined by a shuffle of both sides.
 BROADCAST_IDS = 2_000_000
-#: Bytes looked at in one step.
-STEP = 8_000_000
+#: Tokens counted in one step.
+STEP = 2_000_000
+
+
+class Classes(dict):
+    """Token -> class, remembered; emptied when large, so memory is bounded."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        c = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) % VOCAB
+        return c
 
 
-def cells(data: bytes) -> np.ndarray:
-    """Trigram cell of each byte of a text, after two bytes of start."""
-    a = np.frombuffer(b"\0\0" + data, np.uint8)
-    out = a[:-2].astype(np.int32) << 16
-    out |= a[1:-1].astype(np.int32) << 8
-    out |= a[2:]
-    return out
+def grams(text: str, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each token and of the end, of the one before each, and the cell of both."""
+    tokens = TOKEN.findall(text.lower())
+    w = np.empty(len(tokens) + 1, np.int64)
+    w[:-1] = np.fromiter(map(classes.__getitem__, tokens), np.int64, len(tokens))
+    w[-1] = EDGE
+    h = np.empty_like(w)
+    h[0], h[1:] = EDGE, w[:-1]
+    x = (h.astype(np.uint64) * np.uint64(VOCAB + 1) + w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return w, h, VOCAB + 1 + ((x ^ (x >> np.uint64(29))) % np.uint64(CELLS)).astype(np.int64)
 
 
 def count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(cell, target, background) of one task, where there is any count."""
-    sums = [np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)]
-    held: list[list[np.ndarray]] = [[], []]
-    sizes = [0, 0]
-
-    def flush(k: int) -> None:
-        if held[k]:
-            x = np.concatenate(held[k])
-            at, n = np.unique(x, return_counts=True) if len(x) < 1_000_000 else (None, np.bincount(x, minlength=CELLS))
-            if at is None:
-                sums[k] += n
-            else:
-                sums[k][at] += n
-            held[k], sizes[k] = [], 0
+    """(cell, target, background) sums of steps of one task; unigrams and bigrams have cells of their own."""
+    classes = Classes()
+    held: list[tuple[np.ndarray, bool]] = []
+    size = 0
+
+    def flush() -> pd.DataFrame:
+        x = np.concatenate([c for c, _ in held])
+        hit = np.repeat([t for _, t in held], [len(c) for c, _ in held])
+        at, back = np.unique(x, return_inverse=True)
+        target = np.bincount(back, weights=hit, minlength=len(at)).astype(np.int64)
+        held.clear()
+        return pd.DataFrame({"cell": at.astype(np.int32), "target": target, "background": np.bincount(back, minlength=len(at))})
 
     for b in batches:
         for text, target in zip(b["text"], b["target"], strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            for at in range(0, len(data), STEP):
-                c = cells(data[max(0, at - 2) : at + STEP])
-                c = c[2:] if at else c
-                k = int(bool(target))
-                held[k].append(c)
-                sizes[k] += len(c)
-                if sizes[k] >= STEP:
-                    flush(k)
-    flush(0)
-    flush(1)
-    at = np.flatnonzero(sums[0] + sums[1])
-    if len(at):
-        yield pd.DataFrame({"cell": at.astype(np.int32), "target": sums[1][at], "background": sums[0][at] + sums[1][at]})
-
-
-def log_model(cell: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """ln p(byte | two bytes) at each of ``cell`` (sorted), Witten-Bell down to the uniform model."""
-    below = np.full(256, 1 / 256)
-    prob = None
-    for order in (1, 2, 3):
-        span = 256**order
-        c = np.bincount(cell % span, weights=n, minlength=span) if order < 3 else None
-        if order < 3:
-            c = c.reshape(-1, 256)
-            total, types = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            low = below if order == 1 else prob  # prob: by last byte
-            prob = np.where(total > 0, (c + types * low) / np.maximum(total + types, 1e-12), low)
-            if order == 1:
-                prob = prob[0]
-        else:
-            context = cell >> 8
-            total = np.bincount(context, weights=n, minlength=65_536)[context]
-            types = np.bincount(context, weights=(n > 0), minlength=65_536)[context]
-            low = prob[context & 255, cell & 255]
-            return np.log(np.where(total > 0, (n + types * low) / np.maximum(total + types, 1e-12), low))
-    raise AssertionError
-
-
-def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
-    """(cell, target, background): ln p of both models at every trigram of the corpus.
-
-    ``targets`` has the ids of the target documents in ``id_col``.
-    """
+            w, _, cell = grams(text, classes)
+            if len(w) == 1:
+                continue
+            held += [(w, bool(target)), (cell, bool(target))]
+            size += 2 * len(w)
+            if size >= STEP:
+                yield flush()
+                size = 0
+    if held:
+        yield flush()
+
+
+@dataclass(frozen=True)
+class Model:
+    """Counts by cell of the target and of all documents."""
+
+    target: np.ndarray
+    background: np.ndarray
+
+    @property
+    def masses(self) -> tuple[float, float]:
+        return tuple(float(c[: VOCAB + 1].sum(dtype=np.float64)) for c in (self.target, self.background))
+
+
+def log_probs(uni: np.ndarray, hist: np.ndarray, both: np.ndarray, mass: float) -> np.ndarray:
+    """ln p of each token by its counts: of the class, of the class before, and of the two together."""
+    low = (uni + UNIGRAM_PRIOR) / (mass + UNIGRAM_PRIOR * (VOCAB + 1))
+    return np.log((both + BIGRAM_PRIOR * low) / (hist + BIGRAM_PRIOR))
+
+
+def losses(text: str, target: bool, model: Model, masses: tuple[float, float], classes: Classes) -> tuple[int, float, float]:
+    """Tokens, and the summed loss under either model, the text's own counts taken out."""
+    w, h, cell = grams(text, classes)
+    if len(w) == 1 or not masses[0]:
+        return len(w) - 1, 0.0, 0.0
+
+    def own(x: np.ndarray) -> np.ndarray:
+        _, back, n = np.unique(x, return_inverse=True, return_counts=True)
+        return n[back]
+
+    ow, oc = own(w), own(cell)
+    # every token but the end is a class before another, and the edge comes before the first
+    oh = np.empty_like(ow)
+    oh[0], oh[1:] = 1, ow[:-1]
+    n = len(w)
+    out = []
+    for counts, mine, mass, scale in ((model.target, target, masses[0], 1.0), (model.background, True, masses[1], masses[0] / masses[1])):
+        k = float(mine)
+        uni, hist, both = (np.maximum(counts[at].astype(np.float64) - k * o, 0.0) * scale for at, o in ((w, ow), (h, oh), (cell, oc)))
+        # shared cells can hold more than either class does
+        out.append(-float(log_probs(uni, hist, np.minimum(both, hist), max(mass - k * n, 0.0) * scale).sum()))
+    return n - 1, out[0], out[1]
+
+
+def marked(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, target of each row."""
     ids = targets.select(F.col(id_col).cast("long").alias("_t")).filter("_t IS NOT NULL").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     # labels can grow with the corpus: only a counted, bounded set is broadcast, which spares the texts a shuffle
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    marked = rows.join(F.broadcast(ids) if few else ids.hint("merge"), F.col("id") == F.col("_t"), "left").select("text", F.col("_t").isNotNull().alias("target"))
-    counted = marked.mapInPandas(count_batches, "cell int, target long, background long")
-    table = counted.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toPandas().sort_values("cell")
-    cell, t, b = table["cell"].to_numpy(np.int64), table["target"].to_numpy(float), table["background"].to_numpy(float)
-    if not t.sum():
-        same = log_model(cell, b) if len(cell) else np.empty(0)
-        return pd.DataFrame({"cell": cell, "target": same, "background": same})
-    return pd.DataFrame({"cell": cell, "target": log_model(cell, t), "background": log_model(cell, b * (t.sum() / b.sum()))})
+    return rows.join(F.broadcast(ids) if few else ids.hint("merge"), F.col("id") == F.col("_t"), "left").select("id", "text", F.col("_t").isNotNull().alias("target"))
 
 
-def score(docs: DataFrame, model: pd.DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Counts of both models; ``targets`` has the ids of the target documents in ``id_col``."""
+    counted = marked(docs, targets, id_col, text_col).select("text", "target").mapInPandas(count_batches, "cell int, target long, background long")
+    table = counted.groupBy("cell").agg(F.sum("target").cast("float").alias("target"), F.sum("background").cast("float").alias("background")).toPandas()
+    out = np.zeros((2, SIZE), np.float32)
+    out[:, table["cell"].to_numpy()] = table[["target", "background"]].to_numpy(np.float32).T
+    return Model(out[0], out[1])
+
+
+def score(docs: DataFrame, model: Model, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score (nats a token)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model["cell"].to_numpy(np.int32), model["target"].to_numpy(np.float32), model["background"].to_numpy(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast((model.target, model.background))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, t, b = shared.value
-        place = np.zeros(CELLS, np.int32)
-        place[cell] = np.arange(len(cell), dtype=np.int32)
+        own, classes = Model(*shared.value), Classes()
+        masses = own.masses
         for batch in batches:
-            n, lt, lb = [], [], []
-            for text in batch["text"]:
-                data = text.encode("utf-8", "surrogatepass")
-                st = sb = 0.0
-                for at in range(0, len(data), STEP):
-                    c = cells(data[max(0, at - 2) : at + STEP])
-                    p = place[c[2:] if at else c]
-                    st -= float(t[p].sum(dtype=np.float64))
-                    sb -= float(b[p].sum(dtype=np.float64))
-                n.append(len(data))
-                lt.append(st / len(data) if data else None)
-                lb.append(sb / len(data) if data else None)
-            out = pd.DataFrame({"doc_id": batch["id"].astype("Int64"), "n_tokens": n, "loss_target": pd.Series(lt, dtype=float), "loss_background": pd.Series(lb, dtype=float)})
+            got = [losses(x, t, own, masses, classes) for x, t in zip(batch["text"], batch["target"], strict=True)]
+            n = np.array([g[0] for g in got], float)
+            mean = lambda k: np.divide([g[k] for g in got], n, out=np.full(len(got), np.nan), where=n > 0)
+            out = pd.DataFrame({"doc_id": batch["id"].astype("Int64"), "n_tokens": n.astype(np.int64), "loss_target": mean(1), "loss_background": mean(2)})
             out["score"] = out["loss_target"] - out["loss_background"]
             yield out
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    scored = rows.mapInPandas(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    scored = marked(docs, targets, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
     return scored.select("doc_id", "n_tokens", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("loss_target", "loss_background", "score")])
 
 
@@ -155,4 +183,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
-    return score(docs, fit(docs, good))
+    return score(docs, fit(docs, good), good)
