@@ -106,10 +106,9 @@ def test_dedup_small_bucket_of_one_pivot(spark):
     first = min(range(60), key=lambda i: h[i][0])
     others = [i for i in range(60) if all(h[i][j] > h[first][j] for j in range(n_hashes))][:2]
     assert len(others) == 2
-    ids = near_dedup.WordIds()
 
     def bands(w):
-        return set(near_dedup.sketch(near_dedup.kmers(w, ids)).tolist())
+        return set(near_dedup.sketch(near_dedup.kmers(near_dedup.word_hashes(" ".join(w)))).tolist())
 
     for seed in range(20_000):
         rng = random.Random(seed)
@@ -145,12 +144,12 @@ def changed(rng, n, part):
 def test_recall_by_band(n):
     """Of pairs with 0.8 and more of the words in place, changed all over the text, the share that are candidates."""
     rng = random.Random(3)
-    ids = near_dedup.WordIds()
 
     def shared(part):
         a, b = changed(rng, n, part)
         assert near_dedup.aligned(a, b) >= 0.8
-        return bool(set(near_dedup.sketch(near_dedup.kmers(a, ids))) & set(near_dedup.sketch(near_dedup.kmers(b, ids))))
+        x, y = (set(near_dedup.sketch(near_dedup.kmers(near_dedup.word_hashes(" ".join(w))))) for w in (a, b))
+        return bool(x & y)
 
     recall = {part: np.mean([shared(part) for _ in range(200)]) for part in (0.05, 0.08, 0.1, 0.12, 0.15, 0.17, 0.19, 0.2, "fifth")}
     print(n, recall)
@@ -171,6 +170,22 @@ def test_dedup_scattered_changes(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_word_hashes_follow_words(monkeypatch):
+    """Equal words have equal hashes and others not, in whatever text, slice and length they stand."""
+    rng = random.Random(2)
+    parts = ["Ab", "ab", "é", "É", "naïve", "中文", "。", "—", " ", "_x", "1", ",", "\n", "😀", "x" * 5000, "\ud800", "e\u0301"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(300)]
+    for size in (near_dedup.SLICE, 7):
+        monkeypatch.setattr(near_dedup, "SLICE", size)
+        of = {}
+        for t in texts:
+            words, hashes = near_dedup.words_of(t), near_dedup.word_hashes(t).tolist()
+            assert len(words) == len(hashes), t
+            for w, h in zip(words, hashes, strict=True):
+                assert of.setdefault(w, h) == h
+        assert len(set(of.values())) == len(of)
+
+
 def test_alignment():
     a = "a b c d e f g h i j".split()
     assert near_dedup.aligned(a, a) == 1 and near_dedup.aligned(a, a[1:]) == 0.9 and near_dedup.aligned(a, a[::-1]) == 0
@@ -197,8 +212,7 @@ def test_prefixes_lose_no_link():
         for _ in range(rng.randrange(14)):
             w[rng.randrange(len(w))] = rng.choice(WORDS)
         texts.append(w[: rng.randrange(25, 41)])
-    ids = near_dedup.WordIds()
-    tokens = [near_dedup.occurrences(near_dedup.word_hashes(w, ids)).view(np.int64) for w in texts]
+    tokens = [near_dedup.occurrences(near_dedup.word_hashes(" ".join(w))).view(np.int64) for w in texts]
     for seed in range(3):
         counts = np.random.default_rng(seed).integers(0, 50, near_dedup.BINS)
         cut = [set(near_dedup.prefix(t, counts).tolist()) for t in tokens]
@@ -242,6 +256,54 @@ def test_bpe_round_trip(spark, tables):  # noqa: F811
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def independent_bpe(text, ranks):
+    """Merges by rank, lowest first, of each match of the pattern: no library."""
+    out = []
+    for m in byte_bpe.pre_tokens().finditer(text):
+        parts = [bytes([c]) for c in m[0].encode()]
+        while len(parts) > 1:
+            pairs = [(ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
+            rank, i = min(pairs)
+            if rank == 1 << 60:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        out += [ranks[p] for p in parts]
+    return out
+
+
+def test_bpe_against_an_independent_encoder():
+    import base64
+
+    path = byte_bpe.vocabulary_path()
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    rng = random.Random(3)
+    parts = ["don't", " I'll", "  ", "\n\n ", "1234567", "été", "中文字符", "😀", "#!?", "word", " Überraschung", "\t", "'d"]
+    for _ in range(150):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        assert np.frombuffer(byte_bpe.encode_text(t, path), "<u4").tolist() == independent_bpe(t, ranks), t
+
+
+def test_bpe_stitches_everywhere(spark):
+    """Small chunks of texts of all kinds: the pieces join to the ids of the whole, and texts without blanks are stitched too."""
+    rng = random.Random(4)
+    parts = ["don't", " I'll", "   ", "\n\n ", "12345678901234567", "été", "中文字符。", "😀", "#!?", "word", " Über", "\t ", "'d", "x" * 90]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(20, 120))) for _ in range(40)]
+    texts += ["中文，字符。" * 60, "a" * 300, " " * 200 + "b" + " " * 200, "1" * 250 + "ab cd " * 40, "\n" * 200 + "x" * 200]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, text string")
+    path = byte_bpe.vocabulary_path()
+    got = {r["key"]: bytes(r["ids"]) for r in byte_bpe.encode_long(df, path, Scratch(spark, "test"), chunk=50, overlap=20).collect()}
+    for i, t in enumerate(texts):
+        assert got[str(i)] == byte_bpe.encode_text(t, path), (i, t)
+
+
+def test_bpe_parts_look_ahead():
+    path = byte_bpe.vocabulary_path()
+    for text in ("ab   cd", "ab \n\n  cd", "x  'll y", "a1 b2   ", "é\t\tz"):
+        for upto in [*byte_bpe.starts_of(text)[1:], len(text)]:
+            assert byte_bpe.encode_part(text, upto, path) + byte_bpe.encode_text(text[upto:], path) == byte_bpe.encode_text(text, path), (text, upto)
+
+
 def brute_pii(t):
     def luhn(x):
         return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(x[::-1])) % 10 == 0
@@ -286,10 +348,45 @@ def test_pii_learns_and_redacts(spark):
     assert clean[200] == "contact <email> and card <card> from <ip>" and clean[201] is None and clean[202] == "" and "555" not in clean[0] and clean[70] == rows[70][1]
 
 
+def test_pii_added_spans_are_right(spark):
+    """Planted spans of every further kind among decoys of the same looks: what the classifier adds is held against what was planted."""
+    rng = random.Random(12)
+
+    def iban():
+        bban = "".join(str(rng.randrange(10)) for _ in range(18))
+        check = 98 - int(bban + "131400") % 97
+        return f"DE{check:02d}{bban}"
+
+    real = {
+        "phone_local": lambda: f"phone {rng.randrange(2, 10)}{rng.randrange(10, 100)}-{rng.randrange(200, 1000)}-{rng.randrange(1000, 10000)}",
+        "ssn": lambda: f"social security {rng.randrange(100, 600)}-{rng.randrange(10, 100)}-{rng.randrange(1000, 10000)}",
+        "iban": lambda: f"konto {iban()}",
+        "email_disguised": lambda: f"write to u{rng.randrange(1000)} [at] mail{rng.randrange(9)} [dot] com",
+    }
+    decoy = {
+        "phone_local": lambda: f"part 0{rng.randrange(10, 100)}-1{rng.randrange(10, 100)}-{rng.randrange(1000, 10000)}",
+        "ssn": lambda: f"order 9{rng.randrange(10, 100)}-00-{rng.randrange(1000, 10000)}",
+        "iban": lambda: f"invoice XX{rng.randrange(10, 100)}{''.join(str(rng.randrange(10)) for _ in range(18))}",
+        "email_disguised": lambda: f"item u{rng.randrange(1000)} [at] page [dot] zzz",
+    }
+    rows, want = [], {}
+    for i in range(400):
+        kind = sorted(real)[i % 4]
+        true = rng.random() < 0.5
+        rows.append((i, f"{prose(rng, 8)} {(real if true else decoy)[kind]()} {prose(rng, 5)}"))
+        want[i] = {kind} if true else set()
+    got = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = sum(len(got[i]) for i in want)
+    right = sum(len(got[i] & want[i]) for i in want)
+    planted = sum(map(len, want.values()))
+    print("added", added, "right", right, "planted", planted)
+    assert right >= 0.95 * added and right >= 0.95 * planted
+
+
 def test_em_finds_reliable_labelers():
-    patterns = Counter({"ssn|1111|1": 60, "ssn|0000|1": 60, "ssn|1110|1": 10, "ssn|0001|1": 10})
+    patterns = Counter({"ssn|1111|1230": 60, "ssn|0000|1230": 60, "ssn|1110|1230": 10, "ssn|0001|1230": 10})
     post, table_ = personal_data.em(patterns)
-    assert post["ssn|1110|1"] > 0.5 > post["ssn|0001|1"] and table_[0, 1, 1] > table_[3, 1, 1] - 1e-9
+    assert post["ssn|1110|1230"] > 0.5 > post["ssn|0001|1230"] and table_[0, 1, 1] > table_[3, 1, 1] - 1e-9
     assert personal_data.train({}) == {}
 
 
@@ -298,10 +395,16 @@ def test_lm_separates_held_out(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{d}/labels.parquet")
     train = labels.filter("quality = 1 AND toxic = 0 AND doc_id % 2 = 0").select("doc_id")
-    scored = lm_score.score(docs, lm_score.fit(docs, train)).join(labels.filter("doc_id % 2 = 1"), "doc_id").toPandas().dropna()
-    rank, good = scored["score"].rank(), scored["quality"] == 1
-    auc = 1 - (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
-    assert auc > 0.9
+    scored = lm_score.score(docs, lm_score.fit(docs, train), train).join(labels, "doc_id").toPandas().dropna()
+    for part in (0, 1):
+        got = scored[scored["doc_id"] % 2 == part]
+        rank, good = got["score"].rank(), got["quality"] == 1
+        auc = 1 - (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+        print(part, auc)
+        assert auc > 0.9
+    # held out, targets do not look closer to the target than other good documents by much
+    good = scored[scored["quality"] == 1]
+    assert abs(good[good["doc_id"] % 2 == 0]["score"].median() - good[good["doc_id"] % 2 == 1]["score"].median()) < 0.15
 
 
 def test_lm_joins_agree(spark, monkeypatch):
@@ -311,44 +414,63 @@ def test_lm_joins_agree(spark, monkeypatch):
     one = lm_score.fit(docs, good)
     monkeypatch.setattr(lm_score, "BROADCAST_IDS", 3)
     other = lm_score.fit(docs, good)
-    assert one.reset_index(drop=True).equals(other.reset_index(drop=True))
+    assert (one.target == other.target).all() and (one.background == other.background).all()
+
+
+def test_lm_counts_grow_with_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    few = docs.filter("doc_id % 8 = 0")
+    none = docs.filter("false").select("doc_id")
+    cells = [(lm_score.fit(x, none).background > 0).sum() for x in (few, docs)]
+    assert cells[1] > 3 * cells[0]
+
+
+LM_ROWS = [(1, "a b a b!"), (2, "a b c"), (3, None), (4, ""), (1, "a b a b!"), (None, "b C"), (5, "w " * 50_000)]
 
 
 def test_lm_brute(spark):
-    rows = [(1, "abab"), (2, "abc"), (3, None), (4, ""), (1, "abab")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = lm_score.fit(docs, spark.createDataFrame([(1,), (1,), (None,)], "doc_id long"))
-    got = {r["doc_id"]: r for r in lm_score.score(docs, model).collect()}
-
-    def logs(weights):
-        n = [Counter(), Counter(), Counter()]
-        for t, w in weights:
-            b = b"\0\0" + t.encode()
-            for i in range(2, len(b)):
-                for k in range(3):
-                    n[k][b[i - k : i + 1]] += w
-
-        def p(ctx, c):
-            base = 1 / 256
-            for k in range(3):
-                h = ctx[len(ctx) - k :] if k else b""
-                seen = [v for g, v in n[k].items() if g[:-1] == h]
-                if sum(seen) > 0:
-                    base = (n[k][h + bytes([c])] + len(seen) * base) / (sum(seen) + len(seen))
-            return base
-
-        def loss(t):
-            b = b"\0\0" + t.encode()
-            return -sum(np.log(p(b[i - 2 : i], b[i])) for i in range(2, len(b))) / len(t)
-
-        return loss
-
-    share = 8 / 11
-    lt, lb = logs([("abab", 2)]), logs([("abab", 2 * share), ("abc", share)])
-    for i, t in ((1, "abab"), (2, "abc")):
-        assert got[i]["loss_target"] == pytest.approx(lt(t), rel=1e-5) and got[i]["loss_background"] == pytest.approx(lb(t), rel=1e-5)
-    assert got[3]["score"] is None and got[4]["n_tokens"] == 0
-    none = lm_score.fit(docs, spark.createDataFrame([], "doc_id long"))
-    assert all(r["score"] in (0.0, None) for r in lm_score.score(docs, none).collect())
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in LM_ROWS], "doc_id long, text string, target int, cell string, id int")
+    targets = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
+    got = lm_score.score(docs, lm_score.fit(docs, targets), targets).collect()
+    assert len(got) == len(LM_ROWS)
+
+    def tokens(t):
+        return [*re.findall(r"\w+|[^\w\s]", (t or "").lower()), "</>"]
+
+    def counts(texts):
+        uni, both = Counter(), Counter()
+        for w in texts:
+            if len(w) > 1:
+                uni.update(w)
+                both.update(zip(["</>", *w], w, strict=False))
+        return uni, both
+
+    def loss(w, rest, scale):
+        uni, both = counts(rest)
+        n = sum(uni.values()) * scale
+        out = 0.0
+        for h, x in zip(["</>", *w], w, strict=False):
+            low = (uni[x] * scale + 0.1) / (n + 0.1 * (lm_score.VOCAB + 1))
+            out -= np.log((both[h, x] * scale + 4 * low) / (uni[h] * scale + 4))
+        return out / (len(w) - 1)
+
+    texts = [tokens(t) for _, t in LM_ROWS]
+    mass = [sum(len(w) for (i, _), w in zip(LM_ROWS, texts, strict=True) if len(w) > 1 and (k or i == 1)) for k in (0, 1)]
+    by_text = {}
+    for (i, t), w in zip(LM_ROWS, texts, strict=True):
+        k = texts.index(w)
+        rest = [x for j, x in enumerate(texts) if j != k]
+        target = [x for j, x in enumerate(texts) if LM_ROWS[j][0] == 1 and (i != 1 or j != k)]
+        if len(w) > 1:
+            by_text[i, len(w) - 1] = loss(w, target, 1.0), loss(w, rest, mass[0] / mass[1])
+    for r in got:
+        if r["n_tokens"]:
+            lt, lb = by_text[r["doc_id"], r["n_tokens"]]
+            assert r["loss_target"] == pytest.approx(lt, rel=1e-5) and r["loss_background"] == pytest.approx(lb, rel=1e-5)
+            assert r["score"] == pytest.approx(lt - lb, abs=1e-4)
+        else:
+            assert r["score"] is None
+    none = spark.createDataFrame([], "doc_id long")
+    assert all(r["score"] in (0.0, None) for r in lm_score.score(docs, lm_score.fit(docs, none), none).collect())
     empty = docs.filter("false")
-    assert lm_score.score(empty, lm_score.fit(empty, docs.select("doc_id"))).count() == 0
+    assert lm_score.score(empty, lm_score.fit(empty, none), none).count() == 0
