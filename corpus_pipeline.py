@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all of ``docs`` and returns a
 DataFrame, which is written as Parquet and read again as the next stage's docs.
 All but the last return the columns of ``documents``.
 
-Defined results: a null text counts as empty and fails the quality rules; the
+Defined results: a null text counts as empty and fails the quality rules; of
+repeated rows, near-dedup keeps one, and mixing counts each on its own; the
 columns of ``documents`` that a table lacks are null, others go; an empty table
 passes through every stage empty.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import byte_bpe, mixing, near_dedup, personal_data, quality_rules
-from skein.llm.exprs import count_words, keep_columns, text_of
+from skein.llm.exprs import keep_columns, text_of
 from skein.llm.scratch import Scratch
 
 TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
@@ -31,19 +32,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the least doc_id, and of rows with that id one.
+    """One row of each class stays: the representative's.
 
-    Rows without an id are known by their text's hash, and stay if nothing with an
-    id is in their class.
+    The representative is a text under an id, so of different texts that share a
+    doc_id each is judged by its own class.  Where its row repeats, the one with
+    the least (source, lang, n_chars), nulls first, stays.
     """
     docs = documents(docs)
-    classes = near_dedup.near_duplicates(docs)
-    winners = classes.filter("kept").select(F.col("doc_id").alias("_w")).distinct()
-    with_id = docs.join(winners, F.col("doc_id") == F.col("_w"), "left_semi").dropDuplicates(["doc_id"])
-    alone = classes.filter("doc_id IS NULL AND class_id IS NULL").groupBy("label").agg(F.min("th").alias("_th"))
-    no_id = docs.filter("doc_id IS NULL").withColumn("_md5", F.md5(text_of("text")))
-    no_id = no_id.join(alone, F.col("_md5") == F.col("_th"), "left_semi").dropDuplicates(["_md5"])
-    return with_id.unionByName(no_id.drop("_md5"))
+    winners = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
+    marked = docs.withColumn("_md5", F.md5(text_of("text")))
+    left = marked.join(winners, marked["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_md5") == F.col("_t")), "left_semi")
+    one = left.groupBy("doc_id", "_md5").agg(F.min(F.struct("source", "lang", "n_chars", "text")).alias("r"))
+    return one.select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,13 +53,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    docs = documents(docs)
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "copies").filter("copies > 0").distinct()
-    sized = docs.withColumn("_size", count_words(text_of("text")))
-    on = sized["doc_id"].eqNullSafe(F.col("_d")) & sized["source"].eqNullSafe(F.col("_s")) & (sized["_size"] == F.col("_n"))
-    joined = sized.join(taken, on).select(*TYPES, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    return joined.select(*TYPES)
+    """Each document as often as the mix takes it, each row by its own number of copies."""
+    return mixing.draw(documents(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +64,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("MinHash near-dedup", dedup), ("PII", private), ("mixing sources", mix), ("byte-level BPE", encode)]
 
-#: The near-dedup and mixing stages hash and iterate; the tests hold each stage against a brute-force version.
+#: The near-dedup and mixing stages hash and iterate; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
