@@ -146,7 +146,7 @@ def votes(t: str, start: int, kind: str, end: int) -> str:
     if family == "email":
         form = "1" if s.rsplit(".", 1)[-1].isalpha() or kind != "email" else "0"
         top = re.split(r"[.\s\])]+", s.rstrip("])"))[-1].lower()
-        known = "1" if top in DOMAINS else "-"
+        known = "1" if top in DOMAINS else "0"
     elif family == "ip":
         form = "0" if s.startswith("0") else "1"
         known = "0" if s.startswith(("127.", "10.", "192.168.")) else "-"
