@@ -41,9 +41,9 @@ CELLS = 1 << 23
 #: The class that starts and ends each text.
 EDGE = VOCAB
 SIZE = VOCAB + 1 + CELLS
-#: Pseudo-counts of the unigram behind a bigram, and of the uniform behind a unigram, a class.
-BIGRAM_PRIOR = 4.0
-UNIGRAM_PRIOR = 0.1
+#: Pseudo-counts of the unigram behind a bigram, and of each class behind a unigram; chosen on held-out labels.
+BIGRAM_PRIOR = 32.0
+UNIGRAM_PRIOR = 0.01
 #: Target ids up to so many (16 MB) go to every task; more are joined by a shuffle of both sides.
 BROADCAST_IDS = 2_000_000
 #: Tokens counted in one step.
