@@ -450,8 +450,8 @@ def test_lm_brute(spark):
         n = sum(uni.values()) * scale
         out = 0.0
         for h, x in zip(["</>", *w], w, strict=False):
-            low = (uni[x] * scale + 0.1) / (n + 0.1 * (lm_score.VOCAB + 1))
-            out -= np.log((both[h, x] * scale + 4 * low) / (uni[h] * scale + 4))
+            low = (uni[x] * scale + lm_score.UNIGRAM_PRIOR) / (n + lm_score.UNIGRAM_PRIOR * (lm_score.VOCAB + 1))
+            out -= np.log((both[h, x] * scale + lm_score.BIGRAM_PRIOR * low) / (uni[h] * scale + lm_score.BIGRAM_PRIOR))
         return out / (len(w) - 1)
 
     texts = [tokens(t) for _, t in LM_ROWS]
