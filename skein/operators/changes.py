@@ -77,17 +77,37 @@ def latest_per_file(history: DataFrame, cap: int = 20) -> DataFrame:
 
 
 def file_intents(history: DataFrame, cap: int = 20, lines: int = 10, max_bytes: int = 1500) -> DataFrame:
-    """file_path, intent, n_commits, updated_at: the newest distinct telling subjects of each file, a line each."""
+    """file_path, intent, n_commits, last_commit of each file with a telling change.
+
+    Of the newest ``cap`` changes, subjects that say nothing or repeat go; ``lines``
+    of the rest are listed and the others counted.
+    """
     newest = latest_per_file(history, cap)
-    per = newest.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("rank", "subject", F.date_format("commit_time", "yyyy-MM-dd").alias("day")))).alias("c"), F.count("*").alias("n_commits"), F.max("commit_time").alias("updated_at"))
-    telling = F.filter("c", lambda x: x["subject"].isNotNull() & ~is_low_signal(x["subject"]))
-    per = per.withColumn("c", telling)
-    once = F.filter("c", lambda x, i: ~F.exists(F.slice("c", F.lit(1), i), lambda y: y["subject"] == x["subject"]))
-    text = F.array_join(F.transform(F.slice(once, 1, lines), lambda x: F.concat(x["day"], F.lit(": "), x["subject"])), "\n")
-    cut = F.udf(lambda s: truncate_bytes(s, max_bytes) if s is not None else None, "string", useArrow=True)
-    # only texts over the limit, few at most, leave the JVM
-    per = per.withColumn("intent", text)
-    return per.select("file_path", F.when(F.octet_length("intent") > max_bytes, cut("intent")).otherwise(F.col("intent")).alias("intent"), "n_commits", "updated_at")
+    kind = F.col("change_type") if "change_type" in history.columns else F.lit("modified")
+    entry = F.struct("rank", F.lower(F.trim("subject")).alias("low"), "subject", kind.alias("kind"), F.date_format("commit_time", "yyyy-MM-dd").alias("day"), "commit_hash")
+    telling = newest.filter(F.col("subject").isNotNull() & ~is_low_signal(F.col("subject")))
+    per = telling.groupBy("file_path").agg(F.array_sort(F.collect_list(entry)).alias("c"))
+    per = per.withColumn("c", F.filter("c", lambda x, i: ~F.exists(F.slice("c", F.lit(1), i), lambda y: y["low"] == x["low"])))
+    n = F.size("c")
+    head = F.concat(F.lit("File: "), F.col("file_path"), F.lit("\nRecent changes ("), n.cast("string"), F.lit(" commits):\n"))
+    body = F.array_join(F.transform(F.slice("c", 1, lines), lambda x: F.concat(F.lit("- ["), x["kind"], F.lit("] "), x["subject"], F.lit(" ("), x["day"], F.lit(")\n"))), "")
+    more = F.when(n > lines, F.concat(F.lit("... and "), (n - lines).cast("string"), F.lit(" more commits\n"))).otherwise("")
+    per = per.withColumn("intent", F.concat(head, body, more))
+    return per.select("file_path", truncate_bytes(F.col("intent"), max_bytes).alias("intent"), n.cast("long").alias("n_commits"), F.get("c", F.lit(0))["commit_hash"].alias("last_commit"))
+
+
+def recent_commits_text(commits: DataFrame, count: int) -> DataFrame:
+    """One row, ``text``: the newest commits, a line each; commits is (commit_hash, is_merge, subject, author_name, author_time)."""
+    top = commits.orderBy(F.desc("author_time"), "commit_hash").limit(count)
+    line = F.concat(F.lit("- "), F.left("commit_hash", F.lit(8)), F.lit(" "), F.when(F.col("is_merge"), "[merge] ").otherwise(""), F.col("subject"), F.lit(" ("), F.col("author_name"), F.lit(", "), F.date_format("author_time", "yyyy-MM-dd"), F.lit(")\n"))
+    rows = top.select(F.struct((-F.unix_micros(F.col("author_time").cast("timestamp"))).alias("t"), "commit_hash", line.alias("line")).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("r"))
+    text = F.concat(F.lit("Recent commits ("), F.size("r").cast("string"), F.lit("):\n"), F.array_join(F.transform("r", lambda x: x["line"]), ""))
+    return rows.select(F.when(F.size("r") == 0, "No commits found.").otherwise(text).alias("text"))
+
+
+def latest_commit(commits: DataFrame) -> DataFrame:
+    """The hash of the newest commit by author time; one row, or none."""
+    return commits.orderBy(F.desc("author_time"), "commit_hash").select("commit_hash").limit(1)
 
 
 def diff_trees(old: DataFrame, new: DataFrame) -> DataFrame:

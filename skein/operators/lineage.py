@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder if all runs on this machine, else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="skein-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df``; a folder of our own only where the session names none."""
+    """A reliable checkpoint of ``df``."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

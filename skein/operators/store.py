@@ -1,7 +1,7 @@
 """Table maintenance: upserts, cascade deletes, resolution of edge targets.
 
-Functions take and return DataFrames; ``replace_table`` swaps a written table for
-its new state, since the plain Parquet source has no merge.
+Functions take and return DataFrames; ``replace_table`` writes a table's new state,
+since the plain Parquet source has no merge.
 """
 
 from __future__ import annotations
@@ -68,13 +68,40 @@ def stale_files(known: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> DataFrame:
-    """Writes ``df`` beside ``path`` and swaps the two, so a reader never sees half a table."""
+    """Writes ``df`` as the next version of the table at ``path`` and returns it.
+
+    Versions lie beside each other in folders ``v=<n>``; a version is there once its
+    ``_SUCCESS`` marker is, which Spark writes last.  So a reader, or a crash at any
+    point, has the old version or the new one, never less.  The version before the
+    current one is kept for readers that have listed it, older ones go.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path + ".next")
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".next")
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(new, old)
-    return spark.read.parquet(path)
+    versions = table_versions(spark, path)
+    new = (versions[-1] if versions else 0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/v={new:08d}")
+    fs, folder = _folder(spark, path)
+    for v in versions[:-1]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"v={v:08d}"), True)
+    return read_table(spark, path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table that ``replace_table`` writes."""
+    versions = table_versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/v={versions[-1]:08d}")
+
+
+def table_versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions, in order."""
+    fs, folder = _folder(spark, path)
+    if not fs.exists(folder):
+        return []
+    found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("v=")]
+    return sorted(int(p.getName()[2:]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder

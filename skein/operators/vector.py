@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,7 +68,8 @@ def knn_batch(rows: DataFrame, id_col: str, vec_col: str, queries: np.ndarray, k
 
 # ---- hashed embedder ---------------------------------------------------------
 
-DELIMITERS = re.compile(r"[\s./\\:;,!?(){}\[\]<>\"'`=+\-*&|^%$#@~_]+")
+# Fixed value: white space and the 28 marks between words.
+DELIMITERS = re.compile(r"[\s_./\\\-(){}\[\]:;,\"'`=+*&|<>#@!?]+")
 
 
 def fnv1a32(data: bytes, start: int = 0x811C9DC5) -> int:
@@ -81,36 +83,51 @@ _SEEDS = [fnv1a32(i.to_bytes(4, "little")) for i in range(4)]
 
 
 def embed_tokens(text: str) -> list[str]:
-    out = []
-    for piece in DELIMITERS.split(text):
-        out += [p.lower() for p in (split_camel(piece) or [piece])]
-    return [t for t in out if len(t.encode()) >= 2]
+    return [p for piece in DELIMITERS.split(text) for part in split_camel(piece) if len((p := part.lower()).encode()) >= 2]
+
+
+def embed_features(text: str) -> dict[str, float]:
+    """Weights: of words, share of the words times ln(1 + bytes); of the lower-cased text's trigrams and bigrams, half and 0.3 of their share."""
+    tokens = embed_tokens(text)
+    out = {t: n / len(tokens) * math.log(1 + len(t.encode())) for t, n in Counter(tokens).items()}
+    low = text.lower()
+    for size, mark, share in ((3, "tri:", 0.5), (2, "bi:", 0.3)):
+        total = max(1, len(low) - size + 1)
+        for g, n in Counter(low[i : i + size] for i in range(len(low) - size + 1)).items():
+            out[mark + g] = n / total * share
+    return out
 
 
 def embed(text: str, dim: int = DIM) -> np.ndarray:
-    """Signed projection of word, trigram and bigram counts, weight tf * ln(1 + length), L2-normalised."""
-    weights: dict[str, float] = {}
-    tf: dict[str, int] = {}
-    for t in embed_tokens(text):
-        tf[t] = tf.get(t, 0) + 1
-    for t, n in tf.items():
-        raw = t.encode()
-        w = n * math.log1p(len(raw))
-        weights[t] = weights.get(t, 0) + w
-        for size, share in ((3, 0.5), (2, 0.3)):
-            for i in range(len(t) - size + 1):
-                g = t[i : i + size]
-                weights[g] = weights.get(g, 0) + n * share
+    """Signed projection of ``embed_features`` to four places each, L2-normalised; zero for a blank text."""
     v = np.zeros(dim, np.float64)
-    for t, w in weights.items():
+    for t, w in embed_features(text.strip()).items():
         raw = t.encode()
         for s in _SEEDS:
             h = fnv1a32(raw, s)
-            v[h % dim] += -w if h >> 31 else w
+            v[h % dim] += w if h >> 31 else -w
     n = np.linalg.norm(v)
     return (v / n if n else v).astype(np.float32)
 
 
+def pack(v: Column) -> Column:
+    """A vector as little-endian float32 bytes, by Arrow batches."""
+
+    def run(vs: pd.Series) -> pd.Series:
+        return vs.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return F.pandas_udf(run, "binary")(v)
+
+
+def unpack(blob: Column) -> Column:
+    """The vector of little-endian float32 bytes; a blob that is no whole number of them is null."""
+
+    def run(bs: pd.Series) -> pd.Series:
+        return bs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4").tolist())
+
+    return F.pandas_udf(run, "array<float>")(blob)
+
+
 def embed_column(text: Column) -> Column:
     """``embed`` of a column, by Arrow batches; a null is an empty text."""
 

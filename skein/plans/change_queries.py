@@ -67,15 +67,29 @@ def history(spark, d):
     return T.table(spark, d, "orders").select(F.concat(F.lit("customers/"), F.col("o_custkey").cast("string")).alias("file_path"), F.col("o_orderkey").cast("string").alias("commit_hash"), F.col("o_orderdate").alias("commit_time"), F.col("o_orderpriority").alias("subject"))
 
 
+#: Subjects that the blueprint's list tells apart: of six kinds, two say nothing.
+SUBJECTS = ("WIP: parts", "Add order", "fix totals", "revert", "Nitpick names", "update deps")
+
+
 @register(
     "file_intents",
-    f"""WITH h AS ({HISTORY}), r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY commit_time DESC, commit_hash) AS rank FROM h QUALIFY rank <= 20),
-f AS (SELECT file_path, subject, rank, commit_time FROM r QUALIFY row_number() OVER (PARTITION BY file_path, subject ORDER BY rank) = 1),
-g AS (SELECT file_path, array_to_string(list(concat(strftime(commit_time, '%Y-%m-%d'), ': ', subject) ORDER BY rank)[1:10], chr(10)) AS intent FROM f GROUP BY file_path)
-SELECT g.file_path, intent, count(*) AS n_commits FROM g JOIN r USING (file_path) GROUP BY ALL""",
+    """WITH h AS (SELECT concat('customers/', o_custkey) AS file_path, o_orderkey::VARCHAR AS commit_hash, o_orderdate AS commit_time,
+  ['WIP: parts', 'Add order', 'fix totals', 'revert', 'Nitpick names', 'update deps'][1 + o_orderkey % 6] || CASE WHEN o_orderkey % 6 IN (1, 2) THEN ' ' || (o_orderkey % 13)::VARCHAR ELSE '' END AS subject,
+  CASE o_orderstatus WHEN 'F' THEN 'added' ELSE 'modified' END AS kind FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY commit_time DESC, commit_hash) AS rank FROM h QUALIFY rank <= 20),
+t AS (SELECT * FROM r WHERE subject NOT IN ('WIP: parts', 'revert', 'update deps')),
+f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY file_path, lower(trim(subject)) ORDER BY rank) = 1),
+g AS (SELECT file_path, count(*) AS n_commits, arg_min(commit_hash, rank) AS last_commit,
+  list(concat('- [', kind, '] ', subject, ' (', strftime(commit_time, '%Y-%m-%d'), ')', chr(10)) ORDER BY rank) AS ls FROM f GROUP BY file_path)
+SELECT file_path, concat('File: ', file_path, chr(10), 'Recent changes (', n_commits, ' commits):', chr(10), array_to_string(ls[1:10], ''),
+  CASE WHEN n_commits > 10 THEN concat('... and ', n_commits - 10, ' more commits', chr(10)) ELSE '' END) AS intent, n_commits, last_commit FROM g""",
 )
 def file_intents(spark, d):
-    return changes.file_intents(history(spark, d)).select("file_path", "intent", "n_commits")
+    key = F.col("o_orderkey") % 6
+    subject = F.concat(F.get(F.array(*[F.lit(x) for x in SUBJECTS]), key.cast("int")), F.when(key.isin(1, 2), F.concat(F.lit(" "), (F.col("o_orderkey") % 13).cast("string"))).otherwise(""))
+    kind = F.when(F.col("o_orderstatus") == "F", "added").otherwise("modified")
+    h = T.table(spark, d, "orders").select(F.concat(F.lit("customers/"), F.col("o_custkey").cast("string")).alias("file_path"), F.col("o_orderkey").cast("string").alias("commit_hash"), F.col("o_orderdate").alias("commit_time"), subject.alias("subject"), kind.alias("change_type"))
+    return changes.file_intents(h, max_bytes=10_000)
 
 
 @register("latest_per_file", f"WITH h AS ({HISTORY}) SELECT file_path, commit_hash FROM h QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY commit_time DESC, commit_hash) <= 3")

@@ -50,9 +50,15 @@ def test_queries():
 def test_scalar_columns(spark):
     assert one(spark, X.strip_version(F.col("p")), p="/v2/orders") == "/orders"
     assert one(spark, X.normalize_path(F.col("p")), p="a//b/") == "/a/b"
-    assert one(spark, X.trailers(F.col("p")), p="text\n\nCloses: 1\nBy: x") == {"Closes": "1", "By": "x"}
+    assert one(spark, X.trailers(F.col("p")), p="text\n\nCloses: 1\n\nBy: x\nCloses: 2\n") == {"Closes": "1", "By": "x"}
+    assert one(spark, X.trailers_json(F.col("p")), p="text\nno trailer: here\nB: 2\nA: 1") == '{"A":"1","B":"2"}'
+    assert one(spark, X.trailers_json(F.col("p")), p="text") == ""
     assert one(spark, X.symbol_score("Foo.bar", F.col("p")), p="Foo::bar") == 950
-    assert X.truncate_bytes("hello world foo", 12) == "hello world"
+    assert one(spark, X.truncate_bytes(F.col("p"), 12), p="hello world foo") == "hello world"
+    assert one(spark, X.truncate_bytes(F.col("p"), 12), p="hello w\nor d foo") == "hello w"
+    for n in range(1, 12):
+        assert one(spark, X.truncate_bytes(F.col("p"), n), p="aé中😀é中") == "aé中😀é中".encode()[:n].decode(errors="ignore")
+    assert one(spark, X.content_hash(F.col("p")), p="a") == "af63dc4c8601ec8c"
     assert one(spark, F.array_join(lines.helper_calls(F.col("p")), ","), p="if (a(b(1)))") == "a,b"
 
 
@@ -102,13 +108,74 @@ def test_lines(spark):
     assert one(spark, lines.signature(F.col("p")), p="\n// c\nfunc A()") == "func A()"
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE x", "SELECT 1; SELECT 2", "WITH RECURSIVE r AS (SELECT 1) SELECT * FROM r", "INSERT INTO x VALUES (1)", "", "SET a = 1"])
+ATTACKS = [
+    "DROP TABLE x", "SELECT 1; SELECT 2", "WITH RECURSIVE r AS (SELECT 1) SELECT * FROM r", "INSERT INTO x VALUES (1)", "", "SET a = 1",
+    "SELECT * FROM parquet.`/etc/passwd`", "SELECT * FROM text.`file:///etc/passwd`", "SELECT * FROM csv.`/x` a JOIN nums b ON true", "WITH parquet AS (SELECT 1) SELECT * FROM parquet.`/x`",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT id FROM nums WHERE id IN (SELECT java_method('java.lang.Math', 'abs', 1))", "SELECT /* a */ try_reflect('java.lang.System', 'exit', 1) FROM nums",
+    "SELECT * FROM hidden", "SELECT (SELECT max(id) FROM hidden)", "WITH a AS (SELECT * FROM hidden) SELECT * FROM a", "SELECT * FROM nums WHERE EXISTS (SELECT 1 FROM hidden)", "SELECT * FROM global_temp.nums",
+    "SELECT TRANSFORM(id) USING 'cat' AS (a) FROM nums", "SELECT * FROM range(10)", "SELECT my_udf(id) FROM nums", "SELECT current_user()", "SELECT * FROM `default`.nums",
+]
+
+
+@pytest.mark.parametrize("sql", ATTACKS)
 def test_sql_guard_rejects(spark, sql):
+    spark.range(3).createOrReplaceTempView("hidden")
+    spark.udf.register("my_udf", lambda x: x)
     with pytest.raises(sql_guard.RejectedQuery):
-        sql_guard.query(spark, sql)
+        sql_guard.query(spark, sql, {"nums": spark.range(5)})
 
 
 def test_sql_guard_limits(spark):
     views = {"nums": spark.range(1000)}
     assert sql_guard.query(spark, "SELECT * FROM nums", views).count() == 500
     assert sql_guard.query(spark, "SELECT 'drop; it' AS replace_me FROM nums LIMIT 3;", views).count() == 3
+    assert sql_guard.query(spark, "WITH a AS (SELECT id % 3 AS k FROM NUMS), b AS (SELECT k, count(*) AS n FROM a GROUP BY k) SELECT upper(concat('x', k)) AS x, n FROM b WHERE n IN (SELECT max(n) FROM b) -- ; DROP", views).count() == 1
+
+
+LOW = ["fix lint", "Fix Lint: x", "WIP", "nit: y", "revert \"a\"", "squash", "initial commit", "merge branch 'x'", "update deps now"]
+TELLING = ["fix", "refactor", "typo", "nitpick", "reverted", "fix linter", "merge", "chore: x", "style"]
+
+
+def test_low_signal(spark):
+    for s in LOW + TELLING:
+        assert one(spark, X.is_low_signal(F.col("p")), p=s) == (s in LOW), s
+
+
+def embed_by_rule(text, dim=384):
+    """The embedder written out from its description: word, trigram and bigram shares, four signed places each."""
+    import re
+    from collections import Counter
+
+    words = [p.lower() for w in re.split(r"[\s_./\\\-(){}\[\]:;,\"'`=+*&|<>#@!?]+", text.strip()) for p in X.split_camel(w)]
+    words = [w for w in words if len(w.encode()) > 1]
+    v = np.zeros(dim)
+
+    def put(name, weight):
+        for seed in range(4):
+            h = 2166136261
+            for c in seed.to_bytes(4, "little") + name.encode():
+                h = (h ^ c) * 16777619 % 2**32
+            v[h % dim] += weight if h >= 2**31 else -weight
+
+    for w, n in Counter(words).items():
+        put(w, n / len(words) * math.log(1 + len(w.encode())))
+    low = text.strip().lower()
+    for k, mark, share in ((3, "tri:", 0.5), (2, "bi:", 0.3)):
+        grams = [low[i : i + k] for i in range(len(low) - k + 1)]
+        for g, n in Counter(grams).items():
+            put(mark + g, n / max(1, len(grams)) * share)
+    size = math.sqrt((v * v).sum())
+    return v / size if size else v
+
+
+@pytest.mark.parametrize("text", ["ReadFile opens a file", "héllo_Wörld x", "a", "   ", "HTTPServer.listen(port) -> err", "中文 text ab ab"])
+def test_embedder_follows_its_rule(text):
+    assert np.allclose(vector.embed(text), embed_by_rule(text), atol=1e-6)
+
+
+def test_vector_blobs(spark):
+    df = spark.createDataFrame([([1.0, -2.5],), ([],), (None,)], "v array<float>")
+    got = df.select(vector.pack(F.col("v")).alias("b")).select(vector.unpack(F.col("b")).alias("v")).collect()
+    assert [r["v"] for r in got] == [[1.0, -2.5], [], None]
+    bad = spark.createDataFrame([(bytearray(b"abc"),)], "b binary")
+    assert bad.select(vector.unpack(F.col("b")).alias("v")).first()["v"] is None
