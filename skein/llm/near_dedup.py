@@ -268,11 +268,14 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, threshold: float = THRESHOLD)
 
 
 def prefix_pairs(open_: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of different classes in a bucket of ``open_`` that share a word of their prefixes and are near in size.
+    """Pairs (a, b) of different classes in a bucket of ``open_`` that share a word of their prefixes and may align by it.
 
     Any order of the words gives the same guarantee; counting them in ``BINS`` bins
-    makes it rare words first.  Where one class holds most of a bucket's members with
-    a word, only the others of them are the left side, so a class never meets itself.
+    makes it rare words first.  A pair is made once, at the first word both prefixes
+    have, however many words and buckets they share; of the words before it none is
+    common, so its places bound the alignment too.  Where one class holds most of
+    the texts with a word, only the others are the left side, so a class never meets
+    itself.
     """
     spark = open_.sparkSession
     tokens = scratch.write(texts.join(open_.select("node").distinct(), "node", "left_semi").mapInPandas(token_batches, "node long, tokens array<long>"))
@@ -288,18 +291,26 @@ def prefix_pairs(open_: DataFrame, texts: DataFrame, scratch: Scratch, threshold
             yield pd.DataFrame({"node": b["node"], "size": [len(t) for t in sets], "prefix": [prefix(t, shared.value, threshold) for t in sets]})
 
     prefixes = tokens.mapInPandas(cut, "node long, size int, prefix array<long>")
-    rows = open_.join(prefixes, "node").select("bucket", "node", "label", "size", F.explode("prefix").alias("t"))
-    rows = scratch.write(rows.select(F.xxhash64("bucket", "t").alias("key"), "node", "label", "size"))
-    # one 64-bit key for bucket and word: a clash adds a pair to verify, and loses none
-    per = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("classes"))
-    mixed = scratch.write(per.filter("classes > 1").select("key", "most"))
-    right = scratch.write(rows.join(mixed.hint("merge"), "key"))
-    left = scratch.write(right.filter("label <> most").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na")))
-    near = F.least("size", "na") >= threshold * F.greatest("size", "na") - 1e-9
-    pairs = left.join(right.hint("merge"), "key").filter(F.col("label") != F.col("la")).filter(near)
-    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    # a text has SKETCHES buckets at most
+    of_node = open_.groupBy("node", "label").agg(F.collect_set("bucket").alias("buckets"))
+    nodes = scratch.write(of_node.join(prefixes, "node"))
+    places = nodes.select("node", "label", F.posexplode("prefix").alias("at", "t"))
+    per = places.groupBy("t", "label").agg(F.count("*").alias("n")).groupBy("t").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("classes"))
+    mixed = scratch.write(per.filter("classes > 1").select("t", "most"))
+    right = scratch.write(nodes.select("node", "label", "size", "prefix", "buckets", F.posexplode("prefix").alias("at", "t")).join(mixed.hint("merge"), "t"))
+    left = right.filter("label <> most").select("t", *[F.col(c).alias("a_" + c) for c in ("node", "label", "size", "prefix", "buckets", "at")])
+    left = scratch.write(left)
+    larger = F.greatest("size", "a_size")
+    may_align = (
+        (F.col("label") != F.col("a_label"))
+        & (1 + F.least(F.col("size") - F.col("at") - 1, F.col("a_size") - F.col("a_at") - 1) >= threshold * larger - 1e-9)
+        & (F.get(F.array_intersect("a_prefix", "prefix"), F.lit(0)) == F.col("t"))
+        & F.arrays_overlap("a_buckets", "buckets")
+    )
+    other = right.withColumnRenamed("t", "_t").hint("merge")
+    pairs = left.join(other, (F.col("t") == F.col("_t")) & may_align).select(F.least("a_node", "node").alias("a"), F.greatest("a_node", "node").alias("b")).distinct()
     out = scratch.write(pairs)
-    for t in (tokens, rows, mixed, left, right):
+    for t in (tokens, nodes, mixed, right, left):
         scratch.drop(t)
     return out
 
