@@ -1,7 +1,8 @@
 """Graph operators over (source_id, target_id[, edge_type]).
 
 Everything is joins and aggregates; kernels that need random access to the whole
-adjacency (betweenness, Louvain) run only below a checked size.
+adjacency (betweenness, Louvain) run only below a checked size.  Beyond it,
+betweenness goes on by joins and Louvain refuses.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-#: Kernels that hold the adjacency in one process refuse graphs beyond this many edges.
+#: Kernels hold the adjacency of graphs up to this many edges in one process.
 KERNEL_EDGES = 2_000_000
 
 
@@ -86,6 +87,8 @@ def bfs(p: DataFrame, roots: list[str], depth: int, reverse: bool = False, max_v
     """
     spark = p.sparkSession
     a, b = ("dst", "src") if reverse else ("src", "dst")
+    # every level meets all edges; kept, they are made once
+    p = p.select(a, b).persist()
     known = spark.createDataFrame([(r, 0) for r in roots], "id string, depth int")
     frontier = known
     for d in range(1, depth + 1):
@@ -95,6 +98,7 @@ def bfs(p: DataFrame, roots: list[str], depth: int, reverse: bool = False, max_v
         known = known.unionByName(frontier)
         if frontier.isEmpty() or (max_visited is not None and known.count() - len(roots) >= max_visited):
             break
+    p.unpersist()
     return known.filter("depth > 0")
 
 
@@ -141,11 +145,14 @@ def trace_paths(p: DataFrame, start: str, goal: str, max_depth: int = 10, limit:
     return paths.select("path", F.lit(hit).alias("length")).orderBy("path").limit(limit)
 
 
-def pagerank(p: DataFrame, steps: int = 20, damping: float = 0.85, teleport: DataFrame | None = None, every: int = 5) -> DataFrame:
-    """id, rank after ``steps`` power iterations; mass of dangling nodes goes to the teleport set.
+def pagerank(p: DataFrame, steps: int = 100, damping: float = 0.85, teleport: DataFrame | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """id, rank by power iteration; mass of dangling nodes goes to the teleport set.
 
-    ``teleport`` (id) makes it personalised; without, it is uniform.  The sum of
-    dangling mass is a one-row aggregate inside the plan, so no step asks the driver.
+    Ends when a step moves less than ``tolerance`` in all, or after ``steps``; a
+    tolerance of 0 makes all of them.  ``teleport`` (id) makes it personalised;
+    without, it is uniform.  The links are laid out by source once, so a step
+    shuffles the ranks and the sums only.  The state is cut after every step: it is
+    read three times in the next one.
     """
     v = cut(vertices(p))
     seeds = v if teleport is None else v.join(teleport.select("id").distinct(), "id", "left_semi")
@@ -155,17 +162,18 @@ def pagerank(p: DataFrame, steps: int = 20, damping: float = 0.85, teleport: Dat
     seeds = seeds.select("id", F.lit(1.0 / count).alias("t"))
     base = v.join(seeds, "id", "left").select("id", F.coalesce("t", F.lit(0.0)).alias("t"))
     out = p.groupBy("src").agg(F.count("*").alias("out"))
-    links = cut(p.join(out, "src").select("src", "dst", "out"))
-    base = cut(base.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "t", F.col("out").isNull().alias("dangling")))
-    ranks = base.select("id", F.col("t").alias("rank"))
+    links = p.join(out, "src").select("src", "dst", "out").repartition("src").persist()
+    state = cut(base.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "t", F.col("out").isNull().alias("dangling"), F.col("t").alias("rank"), F.lit(1.0).alias("moved")))
     for i in range(steps):
-        sent = links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        lost = base.filter("dangling").join(ranks, "id").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        new = base.join(sent, "id", "left").join(F.broadcast(lost))
-        ranks = new.select("id", (F.lit(1 - damping) * F.col("t") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("t"))).alias("rank"))
-        if (i + 1) % every == 0:
-            ranks = cut(ranks)
-    return ranks
+        sent = links.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
+        # one row
+        lost = state.filter("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        new = F.lit(1 - damping) * F.col("t") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("t"))
+        state = cut(state.join(sent, "id", "left").join(F.broadcast(lost)).select("id", "t", "dangling", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
+        if tolerance > 0 and state.agg(F.sum("moved")).first()[0] < tolerance:
+            break
+    links.unpersist()
+    return state.select("id", "rank")
 
 
 def subgraph(p: DataFrame, ids: DataFrame) -> DataFrame:
@@ -228,12 +236,50 @@ def _adjacency(p: DataFrame, limit: int) -> tuple[list[str], np.ndarray, np.ndar
     return ids, e["src"].map(at).to_numpy(int), e["dst"].map(at).to_numpy(int)
 
 
-def betweenness(p: DataFrame, limit: int = KERNEL_EDGES) -> DataFrame:
+def betweenness_by_joins(p: DataFrame, blocks: int) -> DataFrame:
+    """``betweenness`` of a graph of any size, exact, with sources in ``blocks`` rounds.
+
+    Each round counts shortest paths from its sources level by level and hands
+    dependencies back from the deepest level, all as joins on (source, node): rows
+    grow with sources times reached nodes, so more blocks need less space and more
+    time.
+    """
+    p = p.persist()
+    v = cut(vertices(p))
+    n = v.count()
+    total = None
+    for k in range(blocks):
+        frontier = cut(v.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")))
+        levels, known = [frontier], frontier.select("s", "id")
+        while not frontier.isEmpty():
+            step = frontier.join(p, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
+            frontier = cut(step.join(known, ["s", "id"], "left_anti"))
+            levels.append(frontier)
+            known = known.unionByName(frontier.select("s", "id"))
+        deep = None
+        for here, above in zip(levels[-2:0:-1], levels[-3::-1], strict=False):
+            own = here.withColumn("delta", F.lit(0.0)) if deep is None else here.join(deep, ["s", "id"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
+            own = cut(own)
+            part = own.select("id", "s", F.col("delta").alias("x"))
+            total = part if total is None else total.unionByName(part)
+            back = own.join(p, F.col("id") == F.col("dst")).select("s", F.col("src").alias("id"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+            deep = cut(back.join(above, ["s", "id"]).groupBy("s", "id").agg(F.sum(F.col("sigma") * F.col("share")).alias("delta")))
+        if total is not None:
+            total = cut(total.groupBy("id").agg(F.sum("x").alias("x")).select("id", F.lit("").alias("s"), "x"))
+    p.unpersist()
+    scale = max(1, (n - 1) * (n - 2))
+    got = v.withColumn("x", F.lit(0.0)).select("id", "x") if total is None else v.join(total.select("id", "x"), "id", "left")
+    return got.select("id", F.least(F.lit(1.0), F.coalesce("x", F.lit(0.0)) / scale).alias("betweenness"))
+
+
+def betweenness(p: DataFrame, limit: int = KERNEL_EDGES, blocks: int = 64) -> DataFrame:
     """id, betweenness (Brandes, over (n-1)(n-2), at most 1; zeros included).
 
-    The adjacency, below the checked limit, goes to every task; sources are dealt
-    out and partial sums added in Spark.
+    Up to ``limit`` edges, the adjacency goes to every task; sources are dealt out and
+    partial sums added in Spark.  Beyond it, ``betweenness_by_joins``.
     """
+    if p.limit(limit + 1).count() > limit:
+        return betweenness_by_joins(p, blocks)
     spark = p.sparkSession
     ids, a, b = _adjacency(p, limit)
     n = len(ids)

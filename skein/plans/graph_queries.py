@@ -18,7 +18,7 @@ def register(name: str, sql: str | None = None):
     return put
 
 
-#: The smaller graph, without orders, for kernels that hold it in one process.
+#: The geography: a graph of its own, of all rows of the four tables, for kernels that hold it in one process.
 SMALL = ("region", "nation", "customer", "supplier")
 SMALL_EDGES = (1, 2, 3)
 CTE = f"WITH nodes AS ({T.nodes_sql()}), edges AS ({T.edges_sql()}), pairs AS (SELECT DISTINCT source_id AS src, target_id AS dst FROM edges WHERE source_id <> target_id)"
@@ -152,13 +152,18 @@ r{i} AS (SELECT t.id, 0.15 * t + 0.85 * (coalesce(got, 0) + lost * t) AS rank FR
 
 @register("pagerank_k_iters", _pagerank_sql(5, None))
 def pagerank_k_iters(spark, d):
-    return graph.pagerank(simple(spark, d), 5).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(simple(spark, d), 5, tolerance=0).select("id", F.round("rank", 9).alias("rank"))
 
 
 @register("ppr_k_iters", _pagerank_sql(5, "id IN ('customer:1', 'supplier:2', 'part:3')"))
 def ppr_k_iters(spark, d):
     seeds = spark.createDataFrame([("customer:1",), ("supplier:2",), ("part:3",)], "id string")
-    return graph.pagerank(simple(spark, d), 5, teleport=seeds).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(simple(spark, d), 5, teleport=seeds, tolerance=0).select("id", F.round("rank", 9).alias("rank"))
+
+
+@register("pagerank_converged")
+def pagerank_converged(spark, d):
+    return graph.pagerank(simple(spark, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
 SCTE = f"WITH nodes AS ({T.nodes_sql(SMALL)}), edges AS ({T.edges_sql(SMALL_EDGES)}), pairs AS (SELECT DISTINCT source_id AS src, target_id AS dst FROM edges)"
@@ -200,7 +205,7 @@ def louvain_modularity(spark, d):
 
 @register("label_propagation")
 def label_propagation(spark, d):
-    return graph.label_propagation(small(spark, d), 3)
+    return graph.label_propagation(simple(spark, d), 3)
 
 
 @register(

@@ -188,9 +188,9 @@ def route_dedupe_version(spark, d):
     return p.withColumn("g", group).withColumn("r", r).filter("r = 1").select("page_id", "symbol")
 
 
-@register("symbol_compare_terms", f"{CTE} SELECT id, lower(list_last(string_split(symbol_name, '.'))) AS base FROM nodes WHERE node_type <= 2")
+@register("symbol_compare_terms", f"{CTE} SELECT id, lower(list_last(string_split(symbol_name, '.'))) AS base FROM nodes")
 def symbol_compare_terms(spark, d):
-    return T.nodes(spark, d, ("region", "nation")).select("id", F.lower(X.symbol_base(F.col("symbol_name"))).alias("base"))
+    return T.nodes(spark, d).select("id", F.lower(X.symbol_base(F.col("symbol_name"))).alias("base"))
 
 
 GUARDED = "SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type"
@@ -238,5 +238,4 @@ def budget_assembly(spark, d):
 
 @register("hybrid_search")
 def hybrid_search(spark, d):
-    n = T.nodes(spark, d, ("region", "nation", "customer", "supplier"))
-    return search.hybrid_search(n, T.edges(spark, d, (1, 2, 3)), "how does customer nation_1 work", 10).select("id", "symbol_name", F.round("score", 6).alias("score"))
+    return search.hybrid_search(T.nodes(spark, d), T.edges(spark, d), "how does customer nation_1 work", 10).select("id", "symbol_name", F.round("score", 6).alias("score"))

@@ -37,6 +37,32 @@ def test_betweenness_of_a_chain(spark):
     assert got == {"a": 0.0, "b": 0.5, "c": 0.0}
 
 
+def random_edges(seed, n, m):
+    import random
+
+    rng = random.Random(seed)
+    return sorted({(f"n{rng.randrange(n):02d}", f"n{rng.randrange(n):02d}") for _ in range(m)})
+
+
+def test_betweenness_by_joins_is_the_kernels(spark):
+    pairs = [e for e in random_edges(4, 14, 30) if e[0] != e[1]]
+    p = spark.createDataFrame(pairs, "src string, dst string")
+    want, got = as_dict(graph.betweenness(p)), as_dict(graph.betweenness(p, limit=5, blocks=2))
+    assert set(want) == set(got) and all(math.isclose(want[k], got[k], abs_tol=1e-12) for k in want) and max(want.values()) > 0
+
+
+def test_pagerank_converges(spark):
+    pairs = [e for e in random_edges(9, 12, 26) if e[0] != e[1]]
+    ids = sorted({x for e in pairs for x in e})
+    out = {i: [b for a, b in pairs if a == i] for i in ids}
+    r = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(300):
+        lost = sum(r[i] for i in ids if not out[i])
+        r = {i: 0.15 / len(ids) + 0.85 * (lost / len(ids) + sum(r[a] / len(out[a]) for a in ids if i in out[a])) for i in ids}
+    got = as_dict(graph.pagerank(spark.createDataFrame(pairs, "src string, dst string"), tolerance=1e-4))
+    assert all(abs(got[i] - r[i]) < 1e-3 for i in ids)
+
+
 def test_pagerank_sums_to_one(spark):
     p = graph.pairs(edges(spark, "a>b b>c c>a a>d"))
     assert math.isclose(sum(as_dict(graph.pagerank(p, 10)).values()), 1, abs_tol=1e-9)
