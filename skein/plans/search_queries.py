@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import assemble, fts, routes, search, symbols, vector
+from ..operators import assemble, fts, routes, search, symbols, text_index, vector
 from ..sources import tables as T
 from . import sql_guard
 from .graph_queries import CTE
@@ -42,9 +42,13 @@ TERMS = [("license", False), ("token", False), ("the", False)]
 PREFIX = [("lic", True), ("pass", True)]
 
 
+def document_index(spark, d):
+    return text_index.open_index(spark, f"{d}/documents.parquet", "doc_id", {"text": 1.0})
+
+
 def ranked(spark, d, terms, keep=None, k=10):
     docs = documents(spark, d)
-    s = fts.bm25(docs, "doc_id", {"text": 1.0}, terms)
+    s = text_index.search(document_index(spark, d), terms)
     if keep is not None:
         # statistics are of the whole corpus; the filter comes after
         s = s.join(docs.filter(keep).select(F.col("doc_id").alias("id")), "id", "left_semi")
@@ -56,6 +60,11 @@ def bm25_topk(spark, d):
     return ranked(spark, d, TERMS)
 
 
+@register("bm25_scan", bm25_sql(TERMS))
+def bm25_scan(spark, d):
+    return fts.top(fts.bm25(documents(spark, d), "doc_id", {"text": 1.0}, TERMS), 10).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @register("bm25_prefix", bm25_sql(PREFIX))
 def bm25_prefix(spark, d):
     return ranked(spark, d, PREFIX)
@@ -82,7 +91,7 @@ s AS (SELECT query_id, doc_id, round(sum(x), 9) AS score FROM x JOIN q USING (te
 SELECT query_id, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, doc_id) <= 1""",
 )
 def bm25_batch(spark, d):
-    out = fts.bm25_batch(documents(spark, d), "doc_id", "text", T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 1)
+    out = text_index.search_batch(document_index(spark, d), T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 1)
     return out.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
