@@ -1,7 +1,7 @@
 """Cross-entropy difference of two matched n-gram models.
 
-Tokens are words and single marks, lower-cased; a token's class is its hash in
-``VOCAB``, so both models share one closed vocabulary and no token is unknown.
+Tokens are words and single ASCII marks, lower-cased (other marks: a run of them is
+one); a token's class is its hash in ``VOCAB``, so both models share one closed vocabulary and no token is unknown.
 Unigrams and bigrams (in ``CELLS`` hashed cells) of the target documents and of all
 documents are counted over the whole corpus.  The models are matched: background
 counts are scaled to the target's mass, and both back off from bigram to unigram to
@@ -23,19 +23,19 @@ repeated results; extra columns are ignored; an empty table gives an empty table
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exprs import text_of
+from .near_dedup import GOLD, mix, plain_bytes, word_places
 
-TOKEN = re.compile(r"\w+|[^\w\s]")
+#: Bytes that are tokens of their own.
+IS_MARK = bytes(i == 1 or 32 < i < 127 and not chr(i).isalnum() and i != 95 for i in range(256))
 VOCAB = 1 << 18
 CELLS = 1 << 23
 #: The class that starts and ends each text.
@@ -46,25 +46,24 @@ BIGRAM_PRIOR = 32.0
 UNIGRAM_PRIOR = 0.01
 #: Target ids up to so many (16 MB) go to every task; more are joined by a shuffle of both sides.
 BROADCAST_IDS = 2_000_000
-#: Tokens counted in one step.
-STEP = 2_000_000
+#: Grams counted in one step.
+STEP = 8_000_000
 
 
-class Classes(dict):
-    """Token -> class, remembered; emptied when large, so memory is bounded."""
+def token_hashes(text: str) -> np.ndarray:
+    data = plain_bytes(text, "\x01")
+    start, hashes = word_places(data)
+    raw = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(np.frombuffer(data.translate(IS_MARK), np.uint8))
+    both = np.concatenate((hashes, mix(raw[at].astype(np.uint64) * GOLD)))
+    return both[np.argsort(np.concatenate((start, at)), kind="stable")]
 
-    def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        c = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) % VOCAB
-        return c
 
-
-def grams(text: str, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of each token and of the end, of the one before each, and the cell of both."""
-    tokens = TOKEN.findall(text.lower())
-    w = np.empty(len(tokens) + 1, np.int64)
-    w[:-1] = np.fromiter(map(classes.__getitem__, tokens), np.int64, len(tokens))
+    hashes = token_hashes(text)
+    w = np.empty(len(hashes) + 1, np.int64)
+    w[:-1] = hashes % np.uint64(VOCAB)
     w[-1] = EDGE
     h = np.empty_like(w)
     h[0], h[1:] = EDGE, w[:-1]
@@ -73,25 +72,21 @@ def grams(text: str, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(cell, target, background) sums of steps of one task; unigrams and bigrams have cells of their own."""
-    classes = Classes()
-    held: list[tuple[np.ndarray, bool]] = []
+    """(key, n) sums of steps of one task; a key is twice a cell, and one more for a target's."""
+    held: list[np.ndarray] = []
     size = 0
 
     def flush() -> pd.DataFrame:
-        x = np.concatenate([c for c, _ in held])
-        hit = np.repeat([t for _, t in held], [len(c) for c, _ in held])
-        at, back = np.unique(x, return_inverse=True)
-        target = np.bincount(back, weights=hit, minlength=len(at)).astype(np.int64)
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        return pd.DataFrame({"cell": at.astype(np.int32), "target": target, "background": np.bincount(back, minlength=len(at))})
+        return pd.DataFrame({"key": keys, "n": n})
 
     for b in batches:
         for text, target in zip(b["text"], b["target"], strict=True):
-            w, _, cell = grams(text, classes)
+            w, _, cell = grams(text)
             if len(w) == 1:
                 continue
-            held += [(w, bool(target)), (cell, bool(target))]
+            held.append((2 * np.concatenate((w, cell)) + int(bool(target))).astype(np.int32))
             size += 2 * len(w)
             if size >= STEP:
                 yield flush()
@@ -118,9 +113,9 @@ def log_probs(uni: np.ndarray, hist: np.ndarray, both: np.ndarray, mass: float)
     return np.log((both + BIGRAM_PRIOR * low) / (hist + BIGRAM_PRIOR))
 
 
-def losses(text: str, target: bool, model: Model, masses: tuple[float, float], classes: Classes) -> tuple[int, float, float]:
+def losses(text: str, target: bool, model: Model, masses: tuple[float, float]) -> tuple[int, float, float]:
     """Tokens, and the summed loss under either model, the text's own counts taken out."""
-    w, h, cell = grams(text, classes)
+    w, h, cell = grams(text)
     if len(w) == 1 or not masses[0]:
         return len(w) - 1, 0.0, 0.0
 
@@ -153,10 +148,16 @@ def marked(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str) -> D
 
 def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Counts of both models; ``targets`` has the ids of the target documents in ``id_col``."""
-    counted = marked(docs, targets, id_col, text_col).select("text", "target").mapInPandas(count_batches, "cell int, target long, background long")
-    table = counted.groupBy("cell").agg(F.sum("target").cast("float").alias("target"), F.sum("background").cast("float").alias("background")).toPandas()
+    counted = marked(docs, targets, id_col, text_col).select("text", "target").mapInPandas(count_batches, "key int, n long")
+    # 2 * SIZE rows of 8 bytes at most
+    table = counted.groupBy("key").agg(F.sum("n").cast("float").alias("n")).toArrow()
+    key, n = table["key"].to_numpy(), table["n"].to_numpy()
+    del table
     out = np.zeros((2, SIZE), np.float32)
-    out[:, table["cell"].to_numpy()] = table[["target", "background"]].to_numpy(np.float32).T
+    mine = key % 2 == 1
+    out[0, key[mine] // 2] = n[mine]
+    out[1, key[~mine] // 2] = n[~mine]
+    out[1] += out[0]
     return Model(out[0], out[1])
 
 
@@ -165,10 +166,10 @@ def score(docs: DataFrame, model: Model, targets: DataFrame, id_col: str = "doc_
     shared = docs.sparkSession.sparkContext.broadcast((model.target, model.background))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, classes = Model(*shared.value), Classes()
+        own = Model(*shared.value)
         masses = own.masses
         for batch in batches:
-            got = [losses(x, t, own, masses, classes) for x, t in zip(batch["text"], batch["target"], strict=True)]
+            got = [losses(x, t, own, masses) for x, t in zip(batch["text"], batch["target"], strict=True)]
             n = np.array([g[0] for g in got], float)
             mean = lambda k: np.divide([g[k] for g in got], n, out=np.full(len(got), np.nan), where=n > 0)
             out = pd.DataFrame({"doc_id": batch["id"].astype("Int64"), "n_tokens": n.astype(np.int64), "loss_target": mean(1), "loss_background": mean(2)})

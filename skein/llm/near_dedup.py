@@ -94,16 +94,26 @@ def powers(base: int, n: int, _held: dict = {}) -> np.ndarray:  # noqa: B006
     return _held[base][:n]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of ``words_of(text)``, from sums of the text's bytes times powers of ``BASE``.
-
-    Characters beyond ASCII that are in no word become blanks, so a byte tells
-    whether it is in a word.  Words of over ``LONG_WORD`` bytes are hashed alone.
-    """
+def plain_bytes(text: str, mark: str = " ") -> bytes:
+    """The lower-cased text in UTF-8, with ``mark`` for runs of characters beyond ASCII that are in no word."""
     low = text.lower()
     data = low.encode("utf-8", "surrogatepass")
     if data.translate(None, PLAIN) or b"\xc3\x97" in data or b"\xc3\xb7" in data:
-        data = NO_WORD.sub(" ", low).encode("utf-8", "surrogatepass")
+        data = NO_WORD.sub(mark, low).encode("utf-8", "surrogatepass")
+    return data
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of ``words_of(text)``."""
+    return word_places(plain_bytes(text))[1]
+
+
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Byte places and 64-bit hashes of the words of ``plain_bytes``, from sums of bytes times powers of ``BASE``.
+
+    A byte tells whether it is in a word.  Words of over ``LONG_WORD`` bytes are
+    hashed alone.
+    """
     # bytes of no word are 0 from here on
     data = data.translate(IN_WORD)
     raw = np.frombuffer(data, np.uint8)
@@ -125,7 +135,7 @@ def word_hashes(text: str) -> np.ndarray:
         at = start[i:j] - a
         out[i:j] = np.add.reduceat(raw[a : a + n] * powers(BASE, n), at) * powers(INVERSE, n)[at]
         i = j
-    return mix(out + (end - start).astype(np.uint64) * GOLD)
+    return start, mix(out + (end - start).astype(np.uint64) * GOLD)
 
 
 def occurrences(h: np.ndarray) -> np.ndarray:
