@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import assemble, fts, routes, search, symbols, text_index, vector
+from ..operators import assemble, fts, match, routes, search, symbols, text_index, vector
 from ..sources import tables as T
 from . import sql_guard
 from .graph_queries import CTE
@@ -65,6 +65,23 @@ def bm25_scan(spark, d):
     return fts.top(fts.bm25(documents(spark, d), "doc_id", {"text": 1.0}, TERMS), 10).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+RAW = '(licensed OR "mit license" OR pass*) NOT token'
+
+
+@register(
+    "bm25_raw",
+    """WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ts FROM documents),
+c AS (SELECT doc_id, len(ts) AS dl, len(list_filter(ts, lambda x: x = 'licensed')) AS f0, len(list_filter(list_zip(ts, ts[2:]), lambda x: x[1] = 'mit' AND x[2] = 'license')) AS f1,
+  len(list_filter(ts, lambda x: starts_with(x, 'pass'))) AS f2, list_contains(ts, 'token') AS out FROM d),
+st AS (SELECT count(*) AS N, avg(dl) AS avgdl, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1, count(*) FILTER (f2 > 0) AS n2 FROM c)
+SELECT doc_id, round(CASE WHEN f0 > 0 THEN greatest(1e-6, ln((N - n0 + 0.5) / (n0 + 0.5))) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END
+  + CASE WHEN f1 > 0 THEN greatest(1e-6, ln((N - n1 + 0.5) / (n1 + 0.5))) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END
+  + CASE WHEN f2 > 0 THEN greatest(1e-6, ln((N - n2 + 0.5) / (n2 + 0.5))) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END, 6)::DOUBLE AS score FROM c, st WHERE (f0 > 0 OR f1 > 0 OR f2 > 0) AND NOT out""",
+)
+def bm25_raw(spark, d):
+    return match.bm25_raw(documents(spark, d), "doc_id", "text", RAW).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @register("bm25_prefix", bm25_sql(PREFIX))
 def bm25_prefix(spark, d):
     return ranked(spark, d, PREFIX)
