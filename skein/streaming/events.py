@@ -104,17 +104,31 @@ def apply_events(tables: dict[str, DataFrame], events: DataFrame, parse: Callabl
 
 
 def run_index_stream(stream: DataFrame, read_tables: Callable[[], dict[str, DataFrame]], write_tables: Callable[[dict[str, DataFrame]], None], parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, refresh_scores: Callable[[], None] | None = None, refresh_after: int = 20):
-    """Applies each micro-batch of debounced events; scores are refreshed once ``refresh_after`` changes have come."""
-    changes = {"n": 0}
+    """Applies each micro-batch of debounced events; scores are refreshed once ``refresh_after`` changes have come.
 
-    def each(batch: DataFrame, _: int) -> None:
-        n = batch.count()
-        if not n:
+    The last batch and the changes since the last refresh are a row beside the
+    checkpoint, so a restart goes on counting and leaves out a batch that was applied.
+    A batch cut short before that row is applied again, which replaces whole files
+    and so changes nothing.
+    """
+    from ..operators import store
+
+    spark = stream.sparkSession
+    path = f"{checkpoint.rstrip('/')}-progress"
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        last, changes = store.read_table(spark, path).first() if store.table_versions(spark, path) else (-1, 0)
+        if batch_id <= last:
             return
-        write_tables(apply_events(read_tables(), batch, parse))
-        changes["n"] += n
-        if refresh_scores and changes["n"] >= refresh_after:
-            refresh_scores()
-            changes["n"] = 0
+        batch = batch.persist()
+        n = batch.count()
+        if n:
+            write_tables(apply_events(read_tables(), batch, parse))
+            changes += n
+            if refresh_scores and changes >= refresh_after:
+                refresh_scores()
+                changes = 0
+        batch.unpersist()
+        store.replace_table(spark.createDataFrame([(batch_id, changes)], "batch long, changes long").coalesce(1), path)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append").start()
