@@ -112,3 +112,32 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     counts = [count(kind) for kind, *_ in BASE]
     return out.select("doc_id", *counts, F.sha2(spans_string(F.col("base")), 256).alias("base_sha256"), spans_string(F.col("spans")).alias("spans"), "n_live", "n_example")
+
+
+def sql() -> str:
+    """Spans from the pieces between matches, as the operator places them; RE2 needs no possessive quantifiers."""
+    kinds = [(kind, order, r"[0-9a-f]{16,}" if kind == "hex" else pattern, group, least) for order, (kind, pattern, group, least) in enumerate(BASE)]
+    kinds += [(kind, 10 + order, pattern, 0, 1) for order, (kind, pattern) in enumerate(EXTRA)]
+    parts = []
+    for kind, order, pattern, group, least in kinds:
+        p = pattern.replace("}+", "}").replace(")++", ")+").replace("'", "''")
+        parts.append(f"""
+SELECT key, owner, repo, {order} AS ord, '{kind}' AS kind, s AS start, s + length(m) AS "end", sha256(v) AS hash FROM (
+  SELECT key, owner, repo, ms[i] AS m, vs[i] AS v, (list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT key, owner, repo, regexp_extract_all(t, '{p}', 0) AS ms, regexp_extract_all(t, '{p}', {group}) AS vs, string_split_regex(t, '{p}') AS gs FROM d))
+) WHERE length(v) >= {least}""")
+    count = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in BASE)
+    text = "string_agg(concat(kind, ':', start, ':', \"end\"), ',' ORDER BY start, ord)"
+    copied = f"n_owners >= {EXAMPLE_OWNERS} OR (n_owners > 1 AND n_repos >= {EXAMPLE_REPOS})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS key, doc_id, coalesce(text, '') AS t, coalesce(source, '~') AS owner, concat(coalesce(source, '~'), '|', coalesce(lang, '~')) AS repo FROM documents),
+s AS ({" UNION ALL ".join(parts)}),
+f AS (SELECT hash, count(DISTINCT owner) AS n_owners, count(DISTINCT repo) AS n_repos FROM s GROUP BY hash),
+j AS (SELECT s.*, {copied} AS copied FROM s JOIN f USING (hash)),
+b AS (SELECT key, {count}, sha256(coalesce({text}, '')) AS base_sha256 FROM s WHERE ord < 10 GROUP BY key),
+a AS (SELECT key, {text} AS spans FROM j WHERE ord < 10 OR NOT copied GROUP BY key),
+h AS (SELECT key, count(DISTINCT hash) FILTER (NOT copied) AS n_live, count(DISTINCT hash) FILTER (copied) AS n_example FROM j GROUP BY key)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in BASE)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN b USING (key) LEFT JOIN a USING (key) LEFT JOIN h USING (key)
+"""

@@ -35,7 +35,7 @@ def tables(spark, tmp_path):
     return put
 
 
-@pytest.mark.parametrize("module", [quality_rules, fingerprints, licenses, url_filter])
+@pytest.mark.parametrize("module", [quality_rules, fingerprints, secrets, licenses, url_filter])
 def test_sql_twin(spark, module):
     same(module.query(spark, DATA), module.sql(), DATA)
 
