@@ -14,12 +14,12 @@ Within a sketch bucket every member meets up to ``PIVOTS`` members, each of leas
 priority by one hash, so the pairs grow with the bucket, not its square; where at
 most one member is no pivot, that is everyone.  Another bucket is settled once its
 members are in one class, as further links could not change the classes.  In what
-is left, a prefix filter finds the pairs of different classes that may still align:
-words, each with its occurrence number, are put in one order, rarest first; texts
-that align to 0.8 share one of the first size - ceil(0.8 * size) + 1 words, so only
-members of a bucket that share such a word are verified.  What fills most of many
-texts is frequent and comes last in that order.  So every pair that shares a sketch
-is compared, or ruled out by an exact bound, or in one class already.
+is left, all members of different classes are screened in blocks by their sizes and
+counted words, which bound the alignment from above, and the pairs that may pass are
+verified.  So every pair that shares a sketch is compared, or ruled out by an exact
+bound, or in one class already.  The screening is quadratic in such a bucket, without
+emitting its pairs: a search by rare words was tried and makes more rows, as texts
+that share a passage share its words.
 
 Hot keys: bucket, pivot and class joins read written tables by sort-merge, which
 adaptive execution splits; sums by key combine before the shuffle.
@@ -54,8 +54,9 @@ L = 2
 SKETCHES = 40
 THRESHOLD = 0.8
 PIVOTS = 3
-#: Bins of the counted words that order the prefixes; fixed, so what is broadcast is.
-BINS = 1 << 17
+#: Members of one block, and bins of their counted words.
+BLOCK = 512
+BINS = 2048
 WORD = re.compile(r"\w+")
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 LAST = np.uint64(2**64 - 1)
@@ -263,66 +264,55 @@ def verify_batches(batches: Iterator[pd.DataFrame], threshold: float = THRESHOLD
         yield pd.DataFrame({"a": b["a"], "b": b["b"], "sim": sims})
 
 
-def token_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hashes of each text's words, each with its occurrence number."""
+def bag_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Word count of each text, and its words counted in ``BINS`` bins by hash; null where 16 bits do not hold them."""
     for b in batches:
-        yield pd.DataFrame({"node": b["node"], "tokens": [occurrences(word_hashes(t)).view(np.int64) for t in b["text"]]})
-
-
-def prefix(tokens: np.ndarray, counts: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """The first size - ceil(threshold * size) + 1 tokens, by how often their bin occurs, then by value."""
-    n = len(tokens)
-    keep = n - int(np.ceil(threshold * n - 1e-9)) + 1
-    bins = (tokens.view(np.uint64) % np.uint64(BINS)).astype(np.int64)
-    return tokens[np.lexsort((tokens, counts[bins]))[:keep]]
+        sizes, bags = [], []
+        for t in b["text"]:
+            words = word_hashes(t)
+            n = np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+            sizes.append(len(words))
+            bags.append(n.astype("<u2").tobytes() if len(words) < 65_536 else None)
+        yield pd.DataFrame({"node": b["node"], "size": sizes, "bag": bags})
 
 
-def prefix_pairs(open_: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of different classes in a bucket of ``open_`` that share a word of their prefixes and may align by it.
+def screen(block: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
+    """Pairs (a, b) across classes of one pair of blocks that size and counted words do not rule out.
 
-    Any order of the words gives the same guarantee; counting them in ``BINS`` bins
-    makes it rare words first.  A pair is made once, at the first word both prefixes
-    have, however many words and buckets they share; of the words before it none is
-    common, so its places bound the alignment too.  Where one class holds most of
-    the texts with a word, only the others are the left side, so a class never meets
-    itself.
+    Words in one bin can only raise the common count, so no link is screened off.
     """
-    spark = open_.sparkSession
-    tokens = scratch.write(texts.join(open_.select("node").distinct(), "node", "left_semi").mapInPandas(token_batches, "node long, tokens array<long>"))
-    binned = tokens.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n")).toPandas()
-    # BINS is a power of two, so pmod of a signed hash and the unsigned remainder agree
-    counts = np.zeros(BINS, np.int64)
-    counts[binned["bin"].to_numpy()] = binned["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(counts)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [np.asarray(t, np.int64) for t in b["tokens"]]
-            yield pd.DataFrame({"node": b["node"], "size": [len(t) for t in sets], "prefix": [prefix(t, shared.value, threshold) for t in sets]})
-
-    prefixes = tokens.mapInPandas(cut, "node long, size int, prefix array<long>")
-    # a text has SKETCHES buckets at most
-    of_node = open_.groupBy("node", "label").agg(F.collect_set("bucket").alias("buckets"))
-    nodes = scratch.write(of_node.join(prefixes, "node"))
-    places = nodes.select("node", "label", F.posexplode("prefix").alias("at", "t"))
-    per = places.groupBy("t", "label").agg(F.count("*").alias("n")).groupBy("t").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("classes"))
-    mixed = scratch.write(per.filter("classes > 1").select("t", "most"))
-    right = scratch.write(nodes.select("node", "label", "size", "prefix", "buckets", F.posexplode("prefix").alias("at", "t")).join(mixed.hint("merge"), "t"))
-    left = right.filter("label <> most").select("t", *[F.col(c).alias("a_" + c) for c in ("node", "label", "size", "prefix", "buckets", "at")])
-    left = scratch.write(left)
-    larger = F.greatest("size", "a_size")
-    may_align = (
-        (F.col("label") != F.col("a_label"))
-        & (1 + F.least(F.col("size") - F.col("at") - 1, F.col("a_size") - F.col("a_at") - 1) >= threshold * larger - 1e-9)
-        & (F.get(F.array_intersect("a_prefix", "prefix"), F.lit(0)) == F.col("t"))
-        & F.arrays_overlap("a_buckets", "buckets")
-    )
-    other = right.withColumnRenamed("t", "_t").hint("merge")
-    pairs = left.join(other, (F.col("t") == F.col("_t")) & may_align).select(F.least("a_node", "node").alias("a"), F.greatest("a_node", "node").alias("b")).distinct()
-    out = scratch.write(pairs)
-    for t in (tokens, nodes, mixed, right, left):
-        scratch.drop(t)
-    return out
+    block = block.sort_values("node")
+    first = block[block["block"] == block["low"]]
+    second = block[block["block"] == block["high"]]
+    same = block["low"].iat[0] == block["high"].iat[0]
+    node, label, size = (second[c].to_numpy() for c in ("node", "label", "size"))
+    bags = np.zeros((len(second), BINS), np.uint16)
+    known = second["bag"].notna().to_numpy()
+    for i in np.flatnonzero(known):
+        bags[i] = np.frombuffer(second["bag"].iat[i], "<u2")
+    out: list[tuple[int, int]] = []
+    for x, lx, n, bag in zip(first["node"], first["label"], first["size"], first["bag"], strict=True):
+        ok = (label != lx) & (np.minimum(size, n) >= threshold * np.maximum(size, n) - 1e-9)
+        if same:
+            ok &= node > x
+        at = np.flatnonzero(ok)
+        if len(at) and bag is not None:
+            common = np.minimum(bags[at], np.frombuffer(bag, "<u2")).sum(axis=1, dtype=np.int64)
+            at = at[(common >= threshold * np.maximum(size[at], n) - 1e-9) | ~known[at]]
+        out += [(min(x, y), max(x, y)) for y in node[at].tolist()]
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def screened_pairs(open_: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of different classes in a bucket of ``open_`` (bucket, n, node, label) that a bound on their common words lets through.
+
+    Members meet in blocks of ``BLOCK``; each pair of blocks is a task's work of its own.
+    """
+    bags = scratch.write(texts.join(open_.select("node").distinct(), "node", "left_semi").mapInPandas(bag_batches, "node long, size int, bag binary"))
+    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = open_.join(bags, "node").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select("bucket", "node", "label", "size", "bag", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return scratch.write(dealt.groupBy("bucket", "low", "high").applyInPandas(lambda g: screen(g, threshold), "a long, b long").distinct())
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -404,11 +394,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = scratch.write(met.select("node", "size", F.explode("pivots").alias("p")).filter("node <> p.node").filter(close).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct())
     known = verified(asked)
     labels = scratch.write(components(known.filter("sim > 0").select("a", "b"), scratch))
-    named = scratch.write(met.filter(F.size("pivots") < F.col("n") - 1).select("bucket", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
+    named = scratch.write(met.filter(F.size("pivots") < F.col("n") - 1).select("bucket", "n", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
     several = scratch.write(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket"))
     open_ = scratch.write(named.join(several.hint("merge"), "bucket", "left_semi"))
     if not open_.isEmpty():
-        found = scratch.write(prefix_pairs(open_, met_texts, scratch, threshold).join(known.select("a", "b"), ["a", "b"], "left_anti"))
+        found = scratch.write(screened_pairs(open_, met_texts, scratch, threshold).join(known.select("a", "b"), ["a", "b"], "left_anti"))
         if not found.isEmpty():
             more = verified(found)
             known = scratch.write(known.unionByName(more))
