@@ -203,7 +203,15 @@ def louvain_modularity(spark, d):
     return graph.modularity(p, found).join(F.broadcast(found.agg(F.countDistinct("community").alias("n_communities"))))
 
 
-@register("label_propagation")
+def _label_sql(steps: int) -> str:
+    sql = f"{CTE}, u AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs), l0 AS (SELECT DISTINCT src AS id, src AS community FROM u)"
+    for i in range(1, steps + 1):
+        sql += f""", v{i} AS (SELECT u.src AS id, community, count(*) AS n FROM u JOIN l{i - 1} l ON l.id = u.dst GROUP BY ALL),
+l{i} AS (SELECT id, arg_min(community, {{'m': -n, 'c': community}}) AS community FROM v{i} GROUP BY id)"""
+    return sql + f" SELECT id, community FROM l{steps}"
+
+
+@register("label_propagation", _label_sql(3))
 def label_propagation(spark, d):
     return graph.label_propagation(simple(spark, d), 3)
 
