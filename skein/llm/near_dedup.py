@@ -279,8 +279,12 @@ def bag_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def screen(block: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
     """Pairs (a, b) across classes of one pair of blocks that size and counted words do not rule out.
 
-    Words in one bin can only raise the common count, so no link is screened off.
+    Words in one bin can only raise the common count, so no link is screened off.  Of
+    the open buckets that two texts share (``mine`` holds each one's), the least makes
+    the pair.
     """
+    bucket = block["bucket"].iat[0]
+    mine = {n: frozenset(m) for n, m in zip(block["node"], block["mine"], strict=True)}
     block = block.sort_values("node")
     first = block[block["block"] == block["low"]]
     second = block[block["block"] == block["high"]]
@@ -299,7 +303,7 @@ def screen(block: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
         if len(at) and bag is not None:
             common = np.minimum(bags[at], np.frombuffer(bag, "<u2")).sum(axis=1, dtype=np.int64)
             at = at[(common >= threshold * np.maximum(size[at], n) - 1e-9) | ~known[at]]
-        out += [(min(x, y), max(x, y)) for y in node[at].tolist()]
+        out += [(min(x, y), max(x, y)) for y in node[at].tolist() if min(mine[x] & mine[y]) == bucket]
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
@@ -310,8 +314,10 @@ def screened_pairs(open_: DataFrame, texts: DataFrame, scratch: Scratch, thresho
     """
     bags = scratch.write(texts.join(open_.select("node").distinct(), "node", "left_semi").mapInPandas(bag_batches, "node long, size int, bag binary"))
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = open_.join(bags, "node").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select("bucket", "node", "label", "size", "bag", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    # a text has SKETCHES buckets at most
+    shared = open_.groupBy("node").agg(F.collect_set("bucket").alias("mine"))
+    dealt = open_.join(bags.join(shared, "node"), "node").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select("bucket", "node", "label", "size", "bag", "mine", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     return scratch.write(dealt.groupBy("bucket", "low", "high").applyInPandas(lambda g: screen(g, threshold), "a long, b long").distinct())
 
 
