@@ -216,7 +216,8 @@ def test_screen_loses_no_link():
             w[rng.randrange(len(w))] = rng.choice(WORDS)
         texts.append(" ".join(w[: rng.randrange(25, 41)]))
     bags = next(near_dedup.bag_batches(iter([pd.DataFrame({"node": range(60), "text": texts})])))
-    block = bags.assign(label=[i % 7 for i in range(60)], block=[i % 2 for i in range(60)], low=0, high=1)
+    block = bags.assign(label=[i % 7 for i in range(60)], block=[i % 2 for i in range(60)], low=0, high=1, bucket=5, mine=[[5, 9]] * 60)
+    assert len(near_dedup.screen(block.assign(bucket=9))) == 0
     got = {tuple(r) for r in near_dedup.screen(block)[["a", "b"]].to_numpy().tolist()}
     words = [near_dedup.words_of(t) for t in texts]
     want = {(i, j) for j in range(60) for i in range(j) if i % 2 != j % 2 and i % 7 != j % 7 and near_dedup.aligned(words[i], words[j])}
