@@ -76,3 +76,14 @@ def test_label_propagation_of_repeated_links(spark, steps):
     edges = [(rng.randrange(30), 30 + rng.randrange(12)) for _ in range(80)]
     p = spark.createDataFrame(edges + edges[:40], "src long, dst long")
     assert {r["id"]: r["community"] for r in graph.label_propagation(p, steps).collect()} == plain_labels(edges, steps)
+
+
+def test_paths_over_repeated_links_stay_in_reach_of_the_start(spark, monkeypatch):
+    # 60 callers of the goal are out of the start's reach: a walk back must not gather them
+    edges = [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (4, 5), (2, 4), *((100 + i, 5) for i in range(60))]
+    p = spark.createDataFrame(edges, "src long, dst long")
+    rows = []
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rows.append((out := cut(df)).count()) or out)
+    assert [r["path"] for r in graph.trace_paths(p, 1, 5).collect()] == [[1, 2, 4, 5], [1, 3, 4, 5]]
+    assert max(rows) <= 5
