@@ -87,3 +87,14 @@ def test_paths_over_repeated_links_stay_in_reach_of_the_start(spark, monkeypatch
     monkeypatch.setattr(graph, "cut", lambda df: rows.append((out := cut(df)).count()) or out)
     assert [r["path"] for r in graph.trace_paths(p, 1, 5).collect()] == [[1, 2, 4, 5], [1, 3, 4, 5]]
     assert max(rows) <= 5
+
+
+def test_pagerank_of_repeated_links_keeps_one_state(spark):
+    edges = [(1, 2), (1, 2), (1, 3), (2, 3), (3, 1), (3, 4), (3, 4)]
+    p = spark.createDataFrame(edges, "src long, dst long")
+    folder = lineage.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    got = {r["id"]: r["rank"] for r in graph.pagerank(p, 6, tolerance=0).collect()}
+    assert len(set(os.listdir(folder)) - before) == 1
+    once = {r["id"]: r["rank"] for r in graph.pagerank(p.distinct(), 6, tolerance=0).collect()}
+    assert got.keys() == once.keys() and all(abs(got[k] - once[k]) < 1e-12 for k in got) and abs(sum(got.values()) - 1) < 1e-9
