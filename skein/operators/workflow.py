@@ -65,9 +65,14 @@ def path_names(paths: DataFrame, nodes: DataFrame, key: str, path_col: str = "pa
 
 
 def direct_edges(asked: DataFrame, simple: DataFrame) -> DataFrame:
-    """(source_id, target_id) with ``direct``: whether the graph has that very edge."""
-    have = simple.select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.lit(True).alias("direct"))
-    return asked.join(have, ["source_id", "target_id"], "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
+    """source_id, target_id of each distinct asked pair with ``direct``: whether the graph has that very edge.
+
+    Both lists may repeat pairs; one exchange brings them together by source.
+    """
+    a = asked.select("source_id", "target_id", F.lit(True).alias("asked"), F.lit(False).alias("direct"))
+    have = simple.select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.lit(False).alias("asked"), F.lit(True).alias("direct"))
+    met = a.unionByName(have).repartition("source_id").groupBy("source_id", "target_id").agg(F.max("asked").alias("asked"), F.max("direct").alias("direct"))
+    return met.filter("asked").drop("asked")
 
 
 # ---- candidates -------------------------------------------------------------
