@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +93,50 @@ def phase_groups(items: DataFrame) -> DataFrame:
     return items.groupBy("phase").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
 
 
+#: Ids of one piece of a long list.
+PIECE = 1000
+
+
+def phase_digests(items: DataFrame) -> DataFrame:
+    """phase, ids, n: MD5 of the comma-joined ids of ``phase_groups`` and their number, with no phase held in one row.
+
+    Items are sorted by range; each range is joined to pieces, and one task a phase
+    runs over its pieces in order, as the digest must.
+    """
+    ranged = items.select("phase", "rank", "id").repartitionByRange("phase", "rank", "id").sortWithinPartitions("phase", "rank", "id")
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            out = []
+            for phase, g in b.groupby("phase", sort=False, dropna=False):
+                ids = g["id"].to_numpy()
+                for k in range(0, len(ids), PIECE):
+                    # as in a joined list, nulls are left out
+                    there = [x for x in ids[k : k + PIECE] if x is not None]
+                    out.append((phase, part, at, ",".join(there) if there else None, len(ids[k : k + PIECE])))
+                    at += 1
+            yield pd.DataFrame(out, columns=["phase", "part", "at", "text", "n"])
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        phase, h, n, first = None, None, 0, True
+        for b in batches:
+            for p, text, k in zip(b["phase"], b["text"], b["n"], strict=True):
+                if h is None or p != phase:
+                    if h is not None:
+                        yield pd.DataFrame({"phase": [phase], "ids": [h.hexdigest()], "n": [n]})
+                    phase, h, n, first = p, hashlib.md5(usedforsecurity=False), 0, True
+                n += k
+                if text is not None:
+                    h.update(text.encode() if first else b"," + text.encode())
+                    first = False
+        if h is not None:
+            yield pd.DataFrame({"phase": [phase], "ids": [h.hexdigest()], "n": [n]})
+
+    cut_up = ranged.mapInPandas(pieces, "phase string, part int, at long, text string, n long")
+    return cut_up.repartition("phase").sortWithinPartitions("phase", "part", "at").mapInPandas(digest, "phase string, ids string, n long")
+
+
 def named_ids(ids: DataFrame, nodes: DataFrame) -> DataFrame:
     """name, id of the distinct ids that are nodes, by name."""
     known = nodes.select("id", F.col("symbol_name").alias("name"))
