@@ -98,3 +98,55 @@ def test_pagerank_of_repeated_links_keeps_one_state(spark):
     assert len(set(os.listdir(folder)) - before) == 1
     once = {r["id"]: r["rank"] for r in graph.pagerank(p.distinct(), 6, tolerance=0).collect()}
     assert got.keys() == once.keys() and all(abs(got[k] - once[k]) < 1e-12 for k in got) and abs(sum(got.values()) - 1) < 1e-9
+
+
+def test_phase_digests_are_those_of_the_lists(spark, monkeypatch):
+    from skein.operators import workflow
+
+    rows = [("ab"[i % 2], i % 7, f"x{i * 37 % 500}") for i in range(900)]
+    items = spark.createDataFrame(rows, "phase string, rank int, id string").repartition(3)
+    monkeypatch.setattr(workflow, "PIECE", 10)
+    want = workflow.phase_groups(items).select("phase", F.md5(F.array_join("ids", ",")).alias("ids"), F.size("ids").alias("n"))
+    got = workflow.phase_digests(items)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_ranked_changes_of_many_roots(spark):
+    from skein.operators import changes
+
+    edges = [(1000 + i, i % 60) for i in range(130)] + [(2000 + i, 1000 + i) for i in range(50)] + [(0, 2000), (1, 0), (1000, 0)]
+    p = spark.createDataFrame(edges + edges[:30], "src long, dst long")
+    ch = spark.createDataFrame([(i, "added") for i in range(60)], "id long, change string")
+    got = {r["id"]: r["dependents"] for r in changes.rank_changes(ch, p, spark.createDataFrame([], "id long, betweenness double")).collect()}
+    for root in range(60):
+        reached, front = {root}, {root}
+        for _ in range(3):
+            front = {a for a, b in edges if b in front} - reached
+            reached |= front
+        assert got[root] == len(reached) - 1
+
+
+def test_direct_edges_of_repeated_links(spark):
+    from skein.operators import workflow
+
+    p = spark.createDataFrame([(1, 2), (1, 2), (2, 3)], "src long, dst long")
+    asked = spark.createDataFrame([(1, 2), (1, 2), (1, 3)], "source_id long, target_id long")
+    assert sorted(map(tuple, workflow.direct_edges(asked, p).collect())) == [(1, 2, True), (1, 3, False)]
+
+
+@pytest.mark.parametrize("name", ["entry_points", "valid_edges_semi", "direct_edges", "graph_coverage", "key_symbols", "connectors"])
+def test_no_exchange_of_edges_by_text(spark, name):
+    from skein.plans import catalogue
+
+    assert not [x for x in exchanges(catalogue.QUERIES[name](spark, DATA)) if "target_id" in x]
+
+
+def test_betweenness_in_small_batches(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = sorted({(a, b) for a, b in ((rng.randrange(20), rng.randrange(20)) for _ in range(60)) if a != b})
+    p = spark.createDataFrame(edges, "src long, dst long")
+    want = {r["id"]: r["betweenness"] for r in graph.betweenness(p, limit=5, blocks=2).collect()}
+    monkeypatch.setattr(graph, "HELD", 16)
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(p).collect()}
+    assert got.keys() == want.keys() and max(got.values()) > 0 and all(abs(got[k] - want[k]) < 1e-12 for k in want)
