@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -79,6 +80,9 @@ def fnv1a32(data: bytes, start: int = 0x811C9DC5) -> int:
     return h
 
 
+#: Features whose hashes a worker keeps, some 250 bytes each.
+KEPT_FEATURES = 200_000
+
 _SEEDS = [fnv1a32(i.to_bytes(4, "little")) for i in range(4)]
 
 
@@ -98,13 +102,18 @@ def embed_features(text: str) -> dict[str, float]:
     return out
 
 
+@lru_cache(KEPT_FEATURES)
+def feature_hashes(feature: str) -> tuple[int, ...]:
+    """The four hashes of a feature; words and grams come again in every text, so a worker keeps them."""
+    raw = feature.encode()
+    return tuple(fnv1a32(raw, s) for s in _SEEDS)
+
+
 def embed(text: str, dim: int = DIM) -> np.ndarray:
     """Signed projection of ``embed_features`` to four places each, L2-normalised; zero for a blank text."""
     v = np.zeros(dim, np.float64)
     for t, w in embed_features(text.strip()).items():
-        raw = t.encode()
-        for s in _SEEDS:
-            h = fnv1a32(raw, s)
+        for h in feature_hashes(t):
             v[h % dim] += w if h >> 31 else -w
     n = np.linalg.norm(v)
     return (v / n if n else v).astype(np.float32)

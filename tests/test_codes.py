@@ -150,3 +150,23 @@ def test_betweenness_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(graph, "HELD", 16)
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(p).collect()}
     assert got.keys() == want.keys() and max(got.values()) > 0 and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_hybrid_search_takes_edges_of_candidates_only(spark, monkeypatch):
+    from skein.operators import search
+    from skein.plans import catalogue
+
+    sizes, pairs = [], graph.pairs
+    monkeypatch.setattr(graph, "pairs", lambda e, *a: sizes.append(e.count()) or pairs(e, *a))
+    assert catalogue.QUERIES["hybrid_search"](spark, DATA).count() == 10
+    assert sizes and max(sizes) < T.edges(spark, DATA, repeats=True).count() / 4 and search
+
+
+def test_embedding_hashes_a_feature_once():
+    from skein.operators import vector
+
+    vector.feature_hashes.cache_clear()
+    a = vector.embed("parse the order and parse the part")
+    done = vector.feature_hashes.cache_info().misses
+    assert (vector.embed("parse the order and parse the part") == a).all() and vector.feature_hashes.cache_info().misses == done
+    assert vector.feature_hashes("tri:abc") == tuple(vector.fnv1a32(b"tri:abc", s) for s in vector._SEEDS)
