@@ -20,8 +20,6 @@ from .lineage import shared_folder
 BUCKETS = 64
 #: A term's bucket is that of its first characters, so a prefix this long or longer has one bucket.
 HEAD = 2
-#: Files that one bucket's postings are dealt to, so that a very frequent term is no single task's.
-SPREAD = 4
 #: Terms of a batch up to so many are broadcast.
 BROADCAST_TERMS = 100_000
 
@@ -32,26 +30,44 @@ def bucket(term: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """(bucket, term, id, tf, dl) and the one row (n_rows, avgdl) of the corpus."""
+    """(bucket, term, id, tf, dl), one row for each field that holds the term, and the one row (n_rows, avgdl) of the corpus."""
 
     postings: DataFrame
     stats: DataFrame
 
 
-def _weighted(weight: float):
-    return lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w"))
+def _heads(ts: Column) -> Column:
+    """Where runs of equal elements start in a sorted array."""
+    at = F.when(F.size(ts) > 0, F.sequence(F.lit(0), F.size(ts) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(at, lambda j: (j == 0) | (F.get(ts, j) != F.get(ts, j - 1)))
+
+
+def _counts(ts: Column, heads: Column, weight: float) -> Column:
+    """(term, tf) of each run."""
+    return F.transform(heads, lambda j, k: F.struct(F.get(ts, j).alias("term"), ((F.coalesce(F.get(heads, k + 1), F.size(ts)) - j) * F.lit(float(weight))).alias("tf")))
+
+
+def postings(rows: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
+    """id, dl, term, tf, bucket: terms counted inside each row, weighted by field; dl is in tokens of all fields."""
+    n = range(len(fields))
+    ts = rows.select(F.col(id_col).alias("id"), *[F.sort_array(tokens(F.col(c))).alias(f"t_{i}") for i, c in enumerate(fields)])
+    # arrays are columns of their own, so that none is made again for each of its elements
+    runs = ts.select("*", sum((F.size(f"t_{i}") for i in n), F.lit(0)).alias("dl"), *[_heads(F.col(f"t_{i}")).alias(f"h_{i}") for i in n])
+    each = F.concat(*[_counts(F.col(f"t_{i}"), F.col(f"h_{i}"), w) for i, w in enumerate(fields.values())])
+    return runs.select("id", "dl", F.inline(each)).withColumn("bucket", bucket(F.col("term")))
 
 
 def build(rows: DataFrame, id_col: str, fields: dict[str, float], path: str) -> None:
-    """Writes the index of ``rows``: frequencies weighted by field, lengths in tokens of all fields."""
-    ts = rows.select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(f"t_{i}") for i, c in enumerate(fields)])
-    dl = sum((F.size(f"t_{i}") for i in range(len(fields))), F.lit(0))
-    each = F.flatten(F.array(*[F.transform(f"t_{i}", _weighted(w)) for i, w in enumerate(fields.values())]))
-    sized = ts.select("id", dl.alias("dl"), each.alias("e"))
-    post = sized.select("id", "dl", F.explode("e").alias("e")).groupBy("e.term", "id", "dl").agg(F.sum("e.w").alias("tf")).withColumn("bucket", bucket(F.col("term")))
-    post = post.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "id")
+    """Writes the index of ``rows``.
+
+    A posting moves once, to its bucket; a bucket has as many tasks and files as its
+    size asks for, so that a very frequent term is no single task's.
+    """
+    post = postings(rows, id_col, fields).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
     post.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    store.replace_table(sized.agg(F.count("*").alias("n_rows"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).coalesce(1), f"{path}/stats")
+    dl = sum((F.size(tokens(F.col(c))) for c in fields), F.lit(0))
+    stats = rows.select(dl.alias("dl")).agg(F.count("*").alias("n_rows"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    store.replace_table(stats.coalesce(1), f"{path}/stats")
 
 
 def source_state(spark: SparkSession, path: str) -> str:

@@ -47,3 +47,20 @@ def test_index_is_found_again(spark, tmp_path):
         assert text_index.search(text_index.open_index(spark, path, "doc_id", fields), [("rare", False)]).count() == 2
     finally:
         spark.conf.unset("skein.index.dir")
+
+
+def test_a_posting_moves_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "b A b", "b"), (2, None, ""), (3, "", "c c")], "doc_id long, text string, title string")
+    post = text_index.postings(rows, "doc_id", {"text": 1.0, "title": 3.0})
+    assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"], r["dl"], r["term"], r["tf"]) for r in post.collect()) == [(1, 4, "a", 1.0), (1, 4, "b", 2.0), (1, 4, "b", 3.0), (3, 2, "c", 6.0)]
+    # a bucket is dealt by its size, not to a fixed number of files
+    kept = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    try:
+        many = spark.range(0, 6000, 1, 12).select(F.col("id").alias("doc_id"), F.lit("the theme").alias("text"))
+        text_index.build(many, "doc_id", {"text": 1.0}, str(tmp_path / "i"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", kept)
+    assert len(list((tmp_path / "i" / "postings").glob("bucket=*/*.parquet"))) > 4
+    assert spark.read.parquet(str(tmp_path / "i" / "postings")).count() == 12_000
