@@ -20,8 +20,10 @@ from .lineage import shared_folder
 BUCKETS = 64
 #: A term's bucket is that of its first characters, so a prefix this long or longer has one bucket.
 HEAD = 2
-#: Terms of a batch up to so many are broadcast.
+#: Terms of a batch, each counted in each of its queries, up to so many are broadcast.
 BROADCAST_TERMS = 100_000
+#: Pairs of a query and a row that one task of a batch sums, at most, if each query meets each row.
+PAIRS = 2_000_000
 
 
 def bucket(term: Column) -> Column:
@@ -128,15 +130,24 @@ def search(index: Index, terms: list[tuple[str, bool]]) -> DataFrame:
 
 
 def search_batch(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank: the k best rows of each of (query_id, text); plain terms."""
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    """query_id, id, score, rank: the k best rows of each of (query_id, text); plain terms.
+
+    Asked postings are dealt by row, once; queries go to them, so that sums need no
+    exchange and what is shuffled grows with the postings, not with rows times queries.
+    """
+    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
     asked = q.select("term").distinct().withColumn("bucket", bucket(F.col("term")))
-    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    tf = index.postings.join(F.broadcast(asked) if few else asked.hint("merge"), ["bucket", "term"], "left_semi")
-    n = tf.groupBy("term").agg(F.count("*").alias("n"))
+    few = q.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    spark = index.postings.sparkSession
+    pairs = (index.stats.first()["n_rows"] or 0) * queries.select("query_id").distinct().count()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-pairs // PAIRS))
+    found = index.postings.join(F.broadcast(asked) if few else asked.hint("merge"), ["bucket", "term"], "left_semi").select("id", "dl", "term", "tf")
+    tf = found.repartition(tasks, "id").groupBy("id", "dl", "term").agg(F.sum("tf").alias("tf"))
+    # counted from the sums, so that both readers take the same exchange
+    n = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("n"))
     s = tf.join(F.broadcast(n) if few else n.hint("merge"), "term").join(F.broadcast(index.stats))
     x = s.select("term", "id", part(F.col("n_rows"), F.col("avgdl"), F.col("n"), F.col("tf"), F.col("dl")).alias("x"))
     # sums in another order differ in the last digits; rounded, equal rows tie and go by id
-    total = x.join(q, "term").groupBy("query_id", "id").agg(F.round(F.sum("x"), 9).alias("score"))
+    total = x.join(F.broadcast(q) if few else q, "term").groupBy("query_id", "id").agg(F.round(F.sum("x"), 9).alias("score"))
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return total.withColumn("rank", r).filter(F.col("rank") <= k)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,31 @@ def test_a_posting_moves_once(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", kept)
     assert len(list((tmp_path / "i" / "postings").glob("bucket=*/*.parquet"))) > 4
     assert spark.read.parquet(str(tmp_path / "i" / "postings")).count() == 12_000
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_batch_sums_where_rows_lie(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(text_index, "BROADCAST_TERMS", broadcast)
+    from skein.operators import fts
+
+    rows = spark.createDataFrame([(i, f"the w{i % 7} w{i % 3} more w{i % 5}") for i in range(60)] + [(100, None), (101, "")], "doc_id long, text string")
+    text_index.build(rows, "doc_id", {"text": 1.0}, str(tmp_path / "i"))
+    index = text_index.Index(spark.read.parquet(str(tmp_path / "i" / "postings")), store.read_table(spark, str(tmp_path / "i" / "stats")))
+    queries = spark.createDataFrame([(1, "w1 W2"), (2, "the w6"), (3, "none"), (4, None)], "query_id long, text string")
+    want = sorted(map(tuple, fts.bm25_batch(rows, "doc_id", "text", queries, 3).collect()))
+    # a query that stands twice counts once
+    out = text_index.search_batch(index, queries.union(queries), 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.select("query_id", "id", "score", "rank").collect())) == want and len(want) == 6
+    if broadcast:
+        assert not re.search(r"hashpartitioning\(query_id#\d+L, id#", plan)
+
+
+def test_batch_weighs_fields_together(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "red blue", "red"), (2, "blue", ""), (3, "green", "sky")], "doc_id long, text string, title string")
+    fields = {"text": 1.0, "title": 3.0}
+    text_index.build(rows, "doc_id", fields, str(tmp_path / "i"))
+    index = text_index.Index(spark.read.parquet(str(tmp_path / "i" / "postings")), store.read_table(spark, str(tmp_path / "i" / "stats")))
+    one = text_index.search(index, [("red", False)]).first()
+    batch = text_index.search_batch(index, spark.createDataFrame([(1, "red")], "query_id long, text string"), 1).first()
+    assert batch["id"] == one["id"] == 1 and batch["score"] == round(one["score"], 9)
