@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,22 +97,31 @@ def outline(text: Column, most: int = 8, least: int = 5) -> Column:
     return F.when(F.size(telling) >= least, telling).otherwise(F.slice(F.array_distinct(F.concat(telling, lines)), 1, least))
 
 
+#: Words before a bracket that call nothing.
+KEYWORDS = "if for foreach while switch return catch function func elseif match array isset empty".split()
+#: A name is met once, at the start of its word, and never given back: linear in the longest words and gaps.
+WORD_START, NAME, CALL = r"(?<!\w)\d*+", r"[A-Za-z_]\w*+", r"[\t\n\f\r ]*+\("
+
+
 def helper_calls(line: Column) -> Column:
     """Names called in a line, keywords left out, each once."""
-    names = F.regexp_extract_all(line, F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1))
-    return F.array_except(F.array_distinct(names), F.array(*[F.lit(k) for k in "if for foreach while switch return catch function func elseif match array isset empty".split()]))
+    names = F.regexp_extract_all(line, F.lit(f"{WORD_START}({NAME}){CALL}"), F.lit(1))
+    return F.array_except(F.array_distinct(names), F.array(*[F.lit(k) for k in KEYWORDS]))
+
+
+def calls_helper(text: Column) -> Column:
+    """Whether ``helper_calls`` finds any name; stops at the first."""
+    return text.rlike(rf"{WORD_START}(?!(?:{'|'.join(KEYWORDS)})(?!\w)){NAME}{CALL}")
+
+
+def marked(low: Column, kind: str) -> Column:
+    """Whether lower-case text looks like a kind of side effect."""
+    return reduce(or_, [F.contains(low, F.lit(w)) for w in MARKERS[kind]])
 
 
 def side_effects(line: Column) -> Column:
     """The kinds of side effect that a line looks like."""
-    low = F.lower(line)
-    kinds = []
-    for kind, ws in MARKERS.items():
-        test = F.lit(False)
-        for w in ws:
-            test = test | F.contains(low, F.lit(w))
-        kinds.append(F.when(test, F.lit(kind)))
-    return F.array_compact(F.array(*kinds))
+    return F.array_compact(F.array(*[F.when(marked(F.lower(line), kind), F.lit(kind)) for kind in MARKERS]))
 
 
 def read_window(text: Column, start: int, end: int, max_lines: int = 60, max_chars: int = 6000, keep_bottom: bool = False) -> Column:

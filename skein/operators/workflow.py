@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lines import helper_calls, side_effects
+from .lines import calls_helper, marked
 
 STEP = "struct<tool:string,reason:string,args:map<string,string>>"
 
@@ -235,8 +235,9 @@ def flow_label(hints: Column) -> Column:
 
 def block_summary(block: Column) -> Column:
     """One sentence on what a block of lines mentions."""
-    found = side_effects(F.lower(block))
-    told = [F.when(F.array_contains(found, k), F.lit(v)) for k, v in MENTIONS.items()]
-    told.append(F.when(F.size(helper_calls(block)) > 0, F.lit("helper calls")))
-    words = F.filter(F.array(*told), lambda x: x.isNotNull())
-    return F.when(F.size(words) == 0, NO_MENTION).otherwise(F.concat(F.lit("Highlights "), F.array_join(words, ", "), F.lit(".")))
+    # no array functions: inside them lower case is made anew for each marker
+    low = F.lower(block)
+    told = [F.when(marked(low, k), F.lit(v)) for k, v in MENTIONS.items()]
+    told.append(F.when(calls_helper(block), F.lit("helper calls")))
+    said = F.concat(F.lit("Highlights "), F.concat_ws(", ", *told), F.lit("."))
+    return F.replace(said, F.lit("Highlights ."), F.lit(NO_MENTION))

@@ -62,6 +62,25 @@ def test_scalar_columns(spark):
     assert one(spark, F.array_join(lines.helper_calls(F.col("p")), ","), p="if (a(b(1)))") == "a,b"
 
 
+def test_block_summary_is_linear(spark):
+    from time import monotonic
+
+    from skein.operators.workflow import NO_MENTION, block_summary
+
+    told = {"x": NO_MENTION, "if (y) for(z)": NO_MENTION, "iffy (1)": "Highlights helper calls.", "1if( 2run\t(": "Highlights helper calls.", "Queue; HTTP": "Highlights job dispatch, integration calls.", "f\x0b(": NO_MENTION, "Valid(éa(b": "Highlights validation, helper calls."}
+    df = spark.createDataFrame([(t,) for t in told] + [(None,)], "text string")
+    assert {r["text"]: r["s"] for r in df.select("text", block_summary(F.col("text")).alias("s")).collect()} == told | {None: NO_MENTION}
+    assert one(spark, F.array_join(lines.helper_calls(F.col("p")), ","), p="9a1 (if(é_b\n(a1(") == "a1,_b"
+    start = monotonic()
+    for run in ("a" * 300_000, "a1" * 150_000, "a" + " " * 300_000, "ab " * 100_000, "a" * 1000 + " " * 300_000):
+        assert one(spark, block_summary(F.col("p")), p=run) == NO_MENTION
+        assert one(spark, F.size(lines.helper_calls(F.col("p"))), p=run) == 0
+    assert monotonic() - start < 20
+    # lower case is made once for all markers
+    plan = df.select(block_summary(F.col("text")).alias("s"))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+
+
 def test_bm25_against_plain(spark):
     docs = [("1", "red red blue"), ("2", "blue"), ("3", "green grass"), ("4", None), ("5", "redwood")]
     df = spark.createDataFrame(docs, "id string, text string")
