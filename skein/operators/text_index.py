@@ -105,8 +105,8 @@ def idf(n_rows: Column, n: Column) -> Column:
     return F.greatest(F.lit(1e-6), F.log((n_rows - n + 0.5) / (n + 0.5)))
 
 
-def part(n_rows: Column, avgdl: Column, n: Column, tf: Column, dl: Column) -> Column:
-    return idf(n_rows, n) * tf * (K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / avgdl))
+def part(idf: Column, avgdl: Column, tf: Column, dl: Column) -> Column:
+    return idf * tf * (K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / avgdl))
 
 
 def search(index: Index, terms: list[tuple[str, bool]]) -> DataFrame:
@@ -125,7 +125,7 @@ def search(index: Index, terms: list[tuple[str, bool]]) -> DataFrame:
     # as many rows as the query has terms
     n = tf.groupBy("j").agg(F.count("*").alias("n"))
     scored = tf.join(F.broadcast(n), "j").join(F.broadcast(index.stats))
-    x = part(F.col("n_rows"), F.col("avgdl"), F.col("n"), F.col("tf"), F.col("dl"))
+    x = part(idf(F.col("n_rows"), F.col("n")), F.col("avgdl"), F.col("tf"), F.col("dl"))
     return scored.groupBy("id").agg(F.sum(x).alias("score"))
 
 
@@ -144,10 +144,12 @@ def search_batch(index: Index, queries: DataFrame, k: int) -> DataFrame:
     found = index.postings.join(F.broadcast(asked) if few else asked.hint("merge"), ["bucket", "term"], "left_semi").select("id", "dl", "term", "tf")
     tf = found.repartition(tasks, "id").groupBy("id", "dl", "term").agg(F.sum("tf").alias("tf"))
     # counted from the sums, so that both readers take the same exchange
-    n = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("n"))
-    s = tf.join(F.broadcast(n) if few else n.hint("merge"), "term").join(F.broadcast(index.stats))
-    x = s.select("term", "id", part(F.col("n_rows"), F.col("avgdl"), F.col("n"), F.col("tf"), F.col("dl")).alias("x"))
-    # sums in another order differ in the last digits; rounded, equal rows tie and go by id
-    total = x.join(F.broadcast(q) if few else q, "term").groupBy("query_id", "id").agg(F.round(F.sum("x"), 9).alias("score"))
+    n = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("n")).join(F.broadcast(index.stats))
+    # the logarithm is taken once for a term, not for each of its postings and queries
+    w = n.select("term", idf(F.col("n_rows"), F.col("n")).alias("idf"), "avgdl")
+    s = tf.join(F.broadcast(w) if few else w.hint("merge"), "term")
+    x = s.select("term", "id", part(F.col("idf"), F.col("avgdl"), F.col("tf"), F.col("dl")).alias("x"))
+    # sums in another order differ in the last digits; rounded, equal rows tie and go by id.  ``round`` would make a decimal of each
+    total = x.join(F.broadcast(q) if few else q, "term").groupBy("query_id", "id").agg((F.rint(F.sum("x") * 1e9) / 1e9).alias("score"))
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return total.withColumn("rank", r).filter(F.col("rank") <= k)
