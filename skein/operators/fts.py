@@ -1,12 +1,15 @@
 """Full-text ranking: BM25 over weighted fields.
 
-A query's terms are few, so term frequencies are counted inside each row's token
-arrays; nothing is exploded, and the only exchange is one row of corpus statistics.
+A query's terms are few, so term frequencies are counted inside each row's text;
+nothing is exploded, and the only exchange is one row of corpus statistics, or with
+``once`` the counts of the rows.
 ``postings`` gives the inverted form for many queries at once.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,43 +23,68 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def _hit(token: Column, term: str, prefix: bool) -> Column:
-    return token.startswith(term) if prefix else token == term
+def spaced(text: Column) -> Column:
+    """The tokens in their order, two blanks between them."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]++", "  "))
+
+
+def _times(text: Column, part: str) -> Column:
+    """How often ``part`` stands in an ASCII text, without overlaps: bytes lost when each loses its first."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit(part[1:])))
+
+
+def _size(words: Column) -> Column:
+    return F.when(words == "", 0).otherwise(_times(words, "  ") + 1)
+
+
+def _hits(words: Column, term: str, prefix: bool) -> Column:
+    """Tokens that equal the term or start with it; each has blanks of its own at both ends."""
+    if prefix and not term:
+        return _size(words)
+    if not re.fullmatch(TOKEN, term):
+        return F.lit(0)
+    return _times(F.concat(F.lit(" "), words, F.lit(" ")), f" {term}" if prefix else f" {term} ")
 
 
 def counted(rows: DataFrame, id_col: str, fields: dict[str, float], terms: list[tuple[str, bool]]) -> DataFrame:
     """id, dl and, for each term, its weighted frequency; a prefix is one phrase."""
-    toks = rows.select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(f"t_{i}") for i, c in enumerate(fields)])
-    dl = sum((F.size(f"t_{i}") for i in range(len(fields))), F.lit(0))
+    # a text of its own in place of an array: functions in arrays are interpreted, element by element
+    words = rows.select(F.col(id_col).alias("id"), *[spaced(F.col(c)).alias(f"t_{i}") for i, c in enumerate(fields)])
+    dl = sum((_size(F.col(f"t_{i}")) for i in range(len(fields))), F.lit(0))
 
     def tf(term: str, prefix: bool) -> Column:
         out = F.lit(0.0)
         for i, w in enumerate(fields.values()):
-            out = out + F.lit(w) * F.size(F.filter(f"t_{i}", lambda x: _hit(x, term, prefix)))
+            out = out + F.lit(w) * _hits(F.col(f"t_{i}"), term, prefix)
         return out
 
-    return toks.select("id", dl.alias("dl"), *[tf(t, p).alias(f"f{j}") for j, (t, p) in enumerate(terms)])
+    return words.select("id", dl.alias("dl"), *[tf(t, p).alias(f"f{j}") for j, (t, p) in enumerate(terms)])
 
 
-def bm25(rows: DataFrame, id_col: str, fields: dict[str, float], terms: list[tuple[str, bool]], k1: float = K1, b: float = B) -> DataFrame:
+def bm25(rows: DataFrame, id_col: str, fields: dict[str, float], terms: list[tuple[str, bool]], k1: float = K1, b: float = B, once: bool = False) -> DataFrame:
     """id, score of the rows that hold any term.
 
     idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; statistics are of all rows.
+    ``once``, for long texts, shuffles the counts of all rows in place of reading the
+    texts for the statistics and again for the scores.
     """
     if not terms:
         return rows.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     c = counted(rows, id_col, fields, terms)
+    if once:
+        # dealt by a column that only the scores need, so that both readers keep the same columns and take one exchange
+        c = c.repartition("id")
     fs = [f"f{j}" for j in range(len(terms))]
     stats = c.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f) > 0, 1)).alias(f"n_{f}") for f in fs])
-    any_hit = sum((F.col(f) for f in fs), F.lit(0.0)) > 0
-    joined = c.filter(any_hit).join(F.broadcast(stats))
+    joined = c.join(F.broadcast(stats))
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
     score = F.lit(0.0)
     for f in fs:
         n = F.col(f"n_{f}")
         idf = F.greatest(F.lit(1e-6), F.log((F.col("N") - n + 0.5) / (n + 0.5)))
         score = score + F.when(F.col(f) > 0, idf * F.col(f) * (k1 + 1) / (F.col(f) + norm)).otherwise(0.0)
-    return joined.select("id", score.alias("score"))
+    # a row that holds a term scores above 0; a filter on frequencies would be pushed down, where each makes the words anew
+    return joined.select("id", score.alias("score")).filter("score > 0")
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 ``open_index`` builds it once for a state of its source and finds it again
 afterwards; a query reads the buckets of its terms alone, and in them the row groups
-that can hold the terms.
+that can hold the terms.  A build costs several scans of the texts, so a query of few
+terms asks ``find_index`` and scans where there is none.
 """
 
 from __future__ import annotations
@@ -84,23 +85,36 @@ def source_state(spark: SparkSession, path: str) -> str:
     return hashlib.md5("\n".join(sorted(seen)).encode(), usedforsecurity=False).hexdigest()
 
 
-def open_index(spark: SparkSession, source: str, id_col: str, fields: dict[str, float]) -> Index:
-    """The index of the Parquet table at ``source``, built if its present state has none.
-
-    ``stats`` is written last, so an index that a crash has left half done is built again.
-    """
+def _place(spark: SparkSession, source: str, id_col: str, fields: dict[str, float]) -> str:
+    """Where the index of the present state of ``source`` lies or will lie."""
     if not (root := spark.conf.get("skein.index.dir", None)):
         root = shared_folder(spark)
         spark.conf.set("skein.index.dir", root)
     about = f"{source_state(spark, source)}|{id_col}|{sorted(fields.items())}"
-    path = f"{root.rstrip('/')}/skein-index-{hashlib.md5(about.encode(), usedforsecurity=False).hexdigest()}"
+    return f"{root.rstrip('/')}/skein-index-{hashlib.md5(about.encode(), usedforsecurity=False).hexdigest()}"
+
+
+def find_index(spark: SparkSession, source: str, id_col: str, fields: dict[str, float]) -> Index | None:
+    """The index of the Parquet table at ``source``, if one of its present state was built.
+
+    ``stats`` is written last, so an index that a crash has left half done is none.
+    """
+    path = _place(spark, source, id_col, fields)
     if not store.table_versions(spark, f"{path}/stats"):
-        build(spark.read.parquet(source), id_col, fields, path)
+        return None
     id_type = spark.read.parquet(source).schema[id_col].dataType.simpleString()
     postings = spark.read.schema(f"term string, id {id_type}, dl int, tf double, bucket int").parquet(f"{path}/postings")
     return Index(postings, store.read_table(spark, f"{path}/stats"))
 
 
+def open_index(spark: SparkSession, source: str, id_col: str, fields: dict[str, float]) -> Index:
+    """The index of the Parquet table at ``source``, built if its present state has none."""
+    if index := find_index(spark, source, id_col, fields):
+        return index
+    build(spark.read.parquet(source), id_col, fields, _place(spark, source, id_col, fields))
+    return find_index(spark, source, id_col, fields)
+
+
 def idf(n_rows: Column, n: Column) -> Column:
     return F.greatest(F.lit(1e-6), F.log((n_rows - n + 0.5) / (n + 0.5)))
 
@@ -126,7 +140,9 @@ def search(index: Index, terms: list[tuple[str, bool]]) -> DataFrame:
     n = tf.groupBy("j").agg(F.count("*").alias("n"))
     scored = tf.join(F.broadcast(n), "j").join(F.broadcast(index.stats))
     x = part(idf(F.col("n_rows"), F.col("n")), F.col("avgdl"), F.col("tf"), F.col("dl"))
-    return scored.groupBy("id").agg(F.sum(x).alias("score"))
+    # added in the order of the terms, as a scan does: in that of arrival equal rows would differ in the last digits, and no longer tie
+    parts = [F.coalesce(F.sum(F.when(F.col("j") == j, x)), F.lit(0.0)) for j in range(len(terms))]
+    return scored.groupBy("id").agg(sum(parts, F.lit(0.0)).alias("score"))
 
 
 def search_batch(index: Index, queries: DataFrame, k: int) -> DataFrame:

@@ -94,3 +94,59 @@ def test_batch_weighs_fields_together(spark, tmp_path):
     one = text_index.search(index, [("red", False)]).first()
     batch = text_index.search_batch(index, spark.createDataFrame([(1, "red")], "query_id long, text string"), 1).first()
     assert batch["id"] == one["id"] == 1 and batch["score"] == round(one["score"], 9)
+
+
+def test_index_and_scan_give_the_same_digits(spark, tmp_path):
+    """Copies tie whatever order their postings arrive in, so lists cut at k hold the least ids."""
+    from skein.operators import fts
+
+    texts = [" ".join(["the"] * (i % 5 + 1) + ["license"] * (i % 3 + 1) + ["token"] * (i % 4 + 1) + ["x"] * (i % 11)) for i in range(240)] + ["x y"] * 400
+    rows = spark.createDataFrame([(i, texts[i % 640]) for i in range(1280)], "doc_id long, text string").repartition(7)
+    text_index.build(rows, "doc_id", {"text": 1.0}, str(tmp_path / "i"))
+    index = text_index.Index(spark.read.parquet(str(tmp_path / "i" / "postings")), store.read_table(spark, str(tmp_path / "i" / "stats")))
+    terms = [("license", False), ("token", False), ("the", False), ("x", True)]
+    got, *scans = [dict(map(tuple, s.select("id", "score").collect())) for s in (text_index.search(index, terms), fts.bm25(rows, "doc_id", {"text": 1.0}, terms), fts.bm25(rows, "doc_id", {"text": 1.0}, terms, once=True))]
+    assert scans == [got, got] and len(got) == 1280
+    assert all(got[i] == got[i + 640] for i in range(640))
+
+
+def test_terms_are_counted_in_the_text(spark):
+    from skein.operators import fts
+
+    texts = ["the the THE other the", "", None, "the", "(the)the-the,", "  lic licx xlic LIC9 \u00e4lic ", "\u00df\u4e2d", "a", "a a  a", "c++ c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    terms = [("the", False), ("lic", True), ("a", False), ("c++", False), ("", True), ("", False), ("The", False), ("the the", False)]
+    out = fts.counted(df, "id", {"text": 2.0}, terms)
+    for r in out.collect():
+        ts = re.findall("[a-z0-9]+", (texts[r["id"]] or "").lower())
+        assert r["dl"] == len(ts)
+        assert [r[f"f{j}"] for j in range(len(terms))] == [2.0 * sum(t.startswith(x) if p else t == x for t in ts) for x, p in terms]
+    # functions in arrays are interpreted, element by element
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_short_query_builds_no_index(spark, tmp_path):
+    """It reads the texts once and shuffles their counts; an index that is there is used, with the same result."""
+    from skein.plans import catalogue
+
+    d = tmp_path / "t"
+    rows = [(i, f"{'the ' * (i % 5)}license w{i % 7} {'token ' * (i % 3)}", ("en", "fr", "de")[i % 3], "s", 1) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    kept = spark.conf.get("skein.index.dir", None)
+    spark.conf.set("skein.index.dir", str(tmp_path / "index"))
+    names = ("minmax_norm", "bm25_topk", "bm25_prefix", "bm25_by_type", "bm25_by_types")
+    try:
+        scanned = {}
+        for name in names:
+            df = catalogue.QUERIES[name](spark, str(d))
+            scanned[name] = list(map(tuple, df.collect()))
+            plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert "ReusedExchange" in plan and len(re.findall(r"FileScan parquet \[[^]]*\btext#", plan)) == 1
+        assert not (tmp_path / "index").exists()
+        text_index.open_index(spark, f"{d}/documents.parquet", "doc_id", {"text": 1.0})
+        for name in names:
+            df = catalogue.QUERIES[name](spark, str(d))
+            assert list(map(tuple, df.collect())) == scanned[name]
+            assert "text#" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("skein.index.dir", kept) if kept else spark.conf.unset("skein.index.dir")
